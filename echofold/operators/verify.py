@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echofold.functions.bits import fingerprint_similarity
+from echofold.functions.hamming import fingerprint_similarity
 from echofold.functions.text import identity_score, tag_key
 from echofold.schema import MAX_OFFSET, SIMILARITY_THRESHOLD
 

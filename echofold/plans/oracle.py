@@ -154,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
         "report_rows": f"{rec} {ROWS} SELECT * FROM rows_",
         "report_summary": f"{rec} {ROWS} SELECT (SELECT count(*) FROM lib) n_scanned, count(*) n_groups, count(*) FILTER (confidence = 'high') n_high, count(*) FILTER (confidence = 'medium') n_medium, coalesce(sum(savings), 0)::BIGINT savings FROM rows_",
         "json_report": f"""{rec} {MEMBERS}, fl AS (SELECT "group", string_agg(path, chr(10) ORDER BY scan_ord) files FROM members GROUP BY 1)
-            SELECT 'fingerprint' tier, confidence, round(score, 4) score, round(tag_score, 4) tag_score, files, keep FROM groups_ g JOIN kept k ON g."group" = k."group" JOIN fl ON fl."group" = g."group" """,
+            SELECT 'fingerprint' tier, confidence, round(round(score, 9), 4) score, round(round(tag_score, 9), 4) tag_score, files, keep FROM groups_ g JOIN kept k ON g."group" = k."group" JOIN fl ON fl."group" = g."group" """,
         "apply_plan": f"{with_} {PLAN} SELECT path, keep, CASE WHEN reason IS NULL THEN 'done' ELSE 'skip' END status, reason FROM plan",
         "apply_counts": f"{with_} {PLAN} SELECT CASE WHEN reason IS NULL THEN 'done' ELSE 'skip' END status, count(*) n FROM plan GROUP BY 1",
         "detected_edges": f"""{rec} {FOUND}, paired AS (SELECT a, b, x.tags ta, y.tags tb FROM scored JOIN lib x ON x.path = a JOIN lib y ON y.path = b WHERE similarity >= 0.85), {RATIOS}
