@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm import frequency, hash_to_min, set_join, survivors
+from echofold.llm import frequency, hash_to_min, history, set_join, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,11 +38,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return hash_to_min.groups(table(spark, d, "edge"), where=F.col("similarity") >= 0.85)
 
 
+def p6_files(spark: SparkSession, d: str) -> DataFrame:
+    """(id, batch, fingerprint): batch 0 holds the cached files that are indexed, by the row of the latest mtime."""
+    c = table(spark, d, "fingerprint_cache").where(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.struct("mtime", "duration", "fingerprint")).alias("r"))
+    old = c.join(table(spark, d, "indexed_file").select("id", "path"), "path").select("id", F.lit(0).alias("batch"), F.col("r.fingerprint").alias("fingerprint"))
+    return old.unionByName(table(spark, d, "incoming_file").select("id", F.col("batch_no").alias("batch"), "fingerprint"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.earlier_copies(p6_files(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return set_join.similar_sets(table(spark, d, "posting"), "term", "file_id", 0.5).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
-NAMES = (p1_found, p1_golden, p3_found, p3_frequencies, p4_found, p7_found)
+NAMES = (p1_found, p1_golden, p3_found, p3_frequencies, p4_found, p6_found, p7_found)
 
 
 def queries() -> dict[str, Query]:
