@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm import frequency, hash_to_min, history, set_join, survivors
+from echofold.llm import frequency, hash_to_min, history, leak, set_join, survivors, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +53,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return set_join.similar_sets(table(spark, d, "posting"), "term", "file_id", 0.5).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
 
 
-NAMES = (p1_found, p1_golden, p3_found, p3_frequencies, p4_found, p6_found, p7_found)
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+NAMES = (p1_found, p1_golden, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found)
 
 
 def queries() -> dict[str, Query]:
