@@ -6,7 +6,7 @@ from __future__ import annotations
 SHORT_FORMS: dict[str, tuple[str, tuple[str, ...]]] = {
     "Andrew": ("m", ("Andy", "Drew")),
     "Anthony": ("m", ("Tony", "Ant")),
-    "Beatrix": ("f", ("Bea", "Trixie")),
+    "Beatrix": ("f", ("Bea", "Trix", "Trixie")),
     "Charles": ("m", ("Charlie", "Chuck")),
     "Christopher": ("m", ("Chris", "Kit", "Topher")),
     "Clementine": ("f", ("Clem", "Clemmie")),
@@ -34,7 +34,7 @@ SHORT_FORMS: dict[str, tuple[str, tuple[str, ...]]] = {
     "Matthew": ("m", ("Matt", "Matty")),
     "Michael": ("m", ("Mike", "Mick", "Mickey", "Micky")),
     "Nicholas": ("m", ("Nick", "Nicky")),
-    "Octavia": ("f", ("Tavy", "Tavia")),
+    "Octavia": ("f", ("Tavy", "Tavi", "Tavia")),
     "Oliver": ("m", ("Ollie", "Olly", "Noll")),
     "Patricia": ("f", ("Pat", "Patty", "Tricia", "Trish", "Patsy")),
     "Penelope": ("f", ("Penny", "Nell")),
@@ -54,7 +54,7 @@ SHORT_FORMS: dict[str, tuple[str, tuple[str, ...]]] = {
     "Valentina": ("f", ("Val", "Tina", "Vally")),
     "Victoria": ("f", ("Vicky", "Tori")),
     "William": ("m", ("Will", "Bill", "Billy", "Willy", "Liam", "Willie")),
-    "Yolanda": ("f", ("Yola", "Landa", "Yoli")),
+    "Yolanda": ("f", ("Yola", "Landa", "Yoli", "Yo")),
     "Zachary": ("m", ("Zach", "Zack", "Zak")),
 }
 

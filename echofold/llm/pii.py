@@ -53,6 +53,9 @@ SURNAME = rf"(?:(?:[OD]['’]|Mc|Mac|von\s|van\s|de\s)?[{UP}][{LOW}]{{2,}}(?:-[{
 CAPITALS = rf"[{UP}]{{3,}}(?:-[{UP}]{{2,}})*"
 MIDDLE = r"(?:\s[A-Z]\.)*"
 NAME = re.compile(rf"(?<![\w'’-])(?:(?P<g1>{GIVEN}){MIDDLE}\s(?P<s1>{SURNAME}|{CAPITALS})|(?P<s2>{CAPITALS}|{SURNAME}),\s(?P<g2>{GIVEN}|[A-Z]\.){MIDDLE}|(?P<g3>[A-Z])\.{MIDDLE}\s(?P<s3>{SURNAME}|{CAPITALS}))(?![\w-]|\s(?:{STREET}|{BUILDING}|Foundation|Trust|Prize|Award|Library|School|Hospital|Institute|Act|Bill|Report|Committee|Alliance|Group|Union|Bench)\b)")
+# Words after which a person is named, for given names that no list has.
+CUE = re.compile(r"(?:Applicant:|[Nn]amed?:?|\bfile of|\bcase of|lodged by|letter from|signs as|signed by|said of|of mine,|neighbour|gallery,|patient|claimant|Antrag von|\bFall|[Ss]chrieb|Akte von|lettre de|dossier de|m['’]écrit)\s(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|M|Mme|Dame|Sir)\.?\s)?(?=[A-ZÀ-Þ])")
+ANY = re.compile(rf"(?P<g1>{CAP}){MIDDLE}\s(?P<s1>{SURNAME})(?![\w-])|(?P<s2>{CAPITALS}),\s(?P<g2>{CAP}){MIDDLE}(?![\w-])")
 #: A name that opens a turn: it stands first in its line or sentence, perhaps with a party in brackets, before a colon.
 OPENS = re.compile(r"(?:^|[\n\r]|[.!?)\]>—:…“”\"]\s)\s*(?:\W*(?:Mr|Mrs|Ms|Dr|Prof|Sir|Dame|Lord|Lady|Herr|Frau|M|Mme)\.?\s)?$")
 TURN = re.compile(r"\s*(?:[(\[][^()\[\]\n]{0,60}[)\]])?\s*:")
@@ -107,30 +110,44 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
                     taken.append(m.span())
                     out.append((kind, m.group(), *m.span()))
     said_by = fold(speaker or "")
+    firsts = {w[0] for w in map(fold, re.split(r"[\s,._]+", speaker or "")) if w}
+
+    def private(m) -> bool:  # noqa: ANN001
+        given, surname = next(m[g] for g in ("g1", "g2", "g3") if m[g]).rstrip("."), next(m[s] for s in ("s1", "s2", "s3") if m[s])
+        return not roll.has(given, surname) and not (said_by and fold(surname) in said_by and fold(given)[:1] in firsts)
+
     pos = 0
     while m := NAME.search(text, pos):
         a, b = m.span()
         pos = b
-        given, surname = m["g1"] or m["g2"] or m["g3"], m["s1"] or m["s2"] or m["s3"]
-        given = given.rstrip(".")
-        value, before = m.group(), text[max(0, a - 40) : a]
+        before = text[max(0, a - 40) : a]
         if not free(a, b):
             pos = a + 1
-            continue
-        if m["g3"] and IN_BRACKETS.search(before) and text[b : b + 1] in ")]":
-            continue  # an abbreviated party
-        if m["s2"] and not m["s2"].isupper() and fold(m["s2"]) in FULL:
-            pos = a + len(m["s2"])
-            continue  # two persons in a row
-        if MEMBER.search(before) or (TURN.match(text, b) and OPENS.search(before)):
-            continue
-        if roll.has(given, surname) or (said_by and fold(surname) in said_by and (not fold(given) or fold(given)[0] in {w[0] for w in map(fold, re.split(r"[\s,._]+", speaker or "")) if w})):
-            continue
-        taken.append((a, b))
-        out.append(("name", value, a, b))
+        elif m["g3"] and IN_BRACKETS.search(before) and text[b : b + 1] in ")]":
+            pass  # an abbreviated party
+        elif m["s2"] and not m["s2"].isupper() and fold(m["s2"]) in FULL:
+            pos = a + len(m["s2"])  # two persons in a row
+        elif not MEMBER.search(before) and not (TURN.match(text, b) and OPENS.search(before)) and private(m):
+            taken.append((a, b))
+            out.append(("name", m.group(), a, b))
+    for cue in CUE.finditer(text):
+        m = ANY.match(text, cue.end())
+        if m and free(*m.span()) and fold(m["g1"] or m["g2"]) not in FULL and private(_Named(m)):
+            taken.append(m.span())
+            out.append(("name", m.group(), *m.span()))
     return sorted(out, key=lambda x: x[2])
 
 
+class _Named:
+    """The groups of ANY, read as those of NAME."""
+
+    def __init__(self, m: re.Match[str]) -> None:
+        self.m = m
+
+    def __getitem__(self, group: str) -> str | None:
+        return None if group in ("g3", "s3") else self.m[group]
+
+
 SPAN = "doc_id bigint, kind string, value string, start int, stop int"
 
 

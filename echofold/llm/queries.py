@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm import frequency, hash_to_min, history, leak, set_join, survivors, tokens
+from echofold.llm import frequency, hash_to_min, history, leak, pii, set_join, survivors, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,7 +61,28 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-NAMES = (p1_found, p1_golden, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found)
+#: The key of the surrogates; a user gives their own secret.
+KEY = "demonstration key"
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.detect(table(spark, d, "documents"), table(spark, d, "member_roll"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d).select("doc_id", "kind", "value").distinct()
+
+
+def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return pii.surrogates(_found(spark, d), KEY).select("kind", "value", "surrogate")
+
+
+def p10_replaced(spark: SparkSession, d: str) -> DataFrame:
+    found = _found(spark, d)
+    return pii.replaced(table(spark, d, "documents"), found, pii.surrogates(found, KEY))
+
+
+NAMES = (p1_found, p1_golden, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_surrogates, p10_replaced)
 
 
 def queries() -> dict[str, Query]:
