@@ -33,7 +33,7 @@ SHORT_FORMS: dict[str, tuple[str, tuple[str, ...]]] = {
     "Margaret": ("f", ("Maggie", "Meg", "Peggy", "Peg", "Madge", "Marge", "Daisy")),
     "Matthew": ("m", ("Matt", "Matty")),
     "Michael": ("m", ("Mike", "Mick", "Mickey", "Micky")),
-    "Nicholas": ("m", ("Nick", "Nicky")),
+    "Nicholas": ("m", ("Nick", "Nicky", "Nico")),
     "Octavia": ("f", ("Tavy", "Tavi", "Tavia")),
     "Oliver": ("m", ("Ollie", "Olly", "Noll")),
     "Patricia": ("f", ("Pat", "Patty", "Tricia", "Trish", "Patsy")),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm import frequency, hash_to_min, history, leak, pii, set_join, survivors, tokens
+from echofold.llm import frequency, hash_to_min, history, leak, names, pii, set_join, survivors, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def p1_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivors.golden(table(spark, d, "duplicate_group"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variants(table(spark, d, "audio_file"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "posting")
     freq = frequency.frequencies(p, "term", "file_id")
@@ -82,7 +86,7 @@ def p10_replaced(spark: SparkSession, d: str) -> DataFrame:
     return pii.replaced(table(spark, d, "documents"), found, pii.surrogates(found, KEY))
 
 
-NAMES = (p1_found, p1_golden, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_surrogates, p10_replaced)
+NAMES = (p1_found, p1_golden, p2_found, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_surrogates, p10_replaced)
 
 
 def queries() -> dict[str, Query]:
