@@ -10,9 +10,12 @@ from echofold.sources.files import Backend, ensure_fingerprints, wanted
 from echofold.sources.store import SnapshotStore
 
 
+BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def listing_stream(spark: SparkSession, directory: str) -> DataFrame:
     """(path, size, mtime, duration) of files as they arrive."""
-    found = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    found = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(directory)
     return wanted(found.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.lit(0.0).alias("duration")))
 
 
