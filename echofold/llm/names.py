@@ -130,7 +130,8 @@ def parse(name: str) -> tuple[str, str, str] | None:
 
 
 def block_keys(kind: str, codes: list[str], givens: list[str]) -> set[str]:
-    """Where a profile looks for its like: its codes with any one letter left out; and both ends of a code under each full given name or band kind."""
+    """Where a profile looks for its like: its codes with any one letter left out, and both ends of a code
+    under the band kind or a given name that is one person's (in such a block a short form of several names would see only one of them)."""
     out = set()
     for c in codes:
         out.add(f"{kind[0]}{c}")
@@ -139,9 +140,9 @@ def block_keys(kind: str, codes: list[str], givens: list[str]) -> set[str]:
             for g in givens:
                 if kind == "band":
                     out.update((f"b<{g}|{c[:5]}", f"b>{g}|{c[-5:]}"))
-                elif len(g) > 1:
-                    for full in FULL.get(g, {g}):
-                        out.update((f"p<{full}|{c[:5]}", f"p>{full}|{c[-5:]}"))
+                elif len(g) > 1 and len(FULL.get(g, {g})) == 1:
+                    (full,) = FULL.get(g, {g})
+                    out.update((f"p<{full}|{c[:5]}", f"p>{full}|{c[-5:]}"))
     return out
 
 
@@ -155,13 +156,17 @@ def slack(a: list[str], b: list[str]) -> int:
     return 0 if n < 4 else 1 if n < 8 else 2
 
 
+def persons(givens: list[str]) -> frozenset[str]:
+    """The full given names that all forms of a profile may stand for; if no one name fits all, any of theirs."""
+    sets = [FULL.get(g, frozenset({g})) for g in givens if len(g) > 1]
+    both = frozenset.intersection(*sets) if sets else frozenset()
+    return both or frozenset().union(*sets)
+
+
 def given_agree(a: list[str], b: list[str]) -> bool:
-    """Whether the full given names of two profiles may be one person's: every name of one with some name of the other."""
-    x, y = [g for g in a if len(g) > 1], [g for g in b if len(g) > 1]
-    if not x or not y:
-        return False
-    one = lambda g, h: may_be(g, h) or (g not in FULL and h not in FULL and near(g, h) <= 1)
-    return all(any(one(g, h) for h in y) for g in x) or all(any(one(g, h) for g in x) for h in y)
+    """Whether the given names of two profiles may be one person's."""
+    x, y = persons(a), persons(b)
+    return bool(x & y) or any(g not in FULL and h not in FULL and near(g, h) <= 1 for g in x for h in y)
 
 
 def initial_agrees(initials: list[str], other: list[str]) -> bool:
@@ -176,23 +181,30 @@ class _Group:
 def resolve(kind: str, profiles: list[tuple[int, list[str], list[str]]]) -> list[tuple[int, int]]:
     """(pid, pid) links in one block, each record compared with the merged groups so far, never with all others.
 
-    Profiles with a full given name come first, so that one with initials
-    only meets whole persons.  It joins the only group that fits at the
-    smallest distance; if several fit, it is left for a richer round.
+    Profiles whose given name is one person's come first, then those of short
+    forms with several meanings, then those of initials, so that the less
+    telling only meet whole persons.  One joins all groups that fit if these
+    agree among themselves, else the only one at the smallest distance; if
+    there are several, it is left for a richer round.
     """
     links, groups = [], []
-    full = [p for p in profiles if kind == "band" or any(len(g) > 1 for g in p[2])]
+    full = sorted((p for p in profiles if kind == "band" or any(len(g) > 1 for g in p[2])), key=lambda p: (kind != "band" and len(persons(p[2])), p[0]))
     for pid, codes, givens in full:
         hits = [g for g in groups if distance(codes, g.codes) <= slack(codes, g.codes) and (set(givens) & set(g.givens) if kind == "band" else given_agree(givens, g.givens))]
+        if kind == "person" and any(not given_agree(g.givens, hits[0].givens) for g in hits):
+            least = min(distance(codes, g.codes) for g in hits)
+            hits = [g for g in hits if distance(codes, g.codes) == least]
+            if len(hits) > 1:
+                continue
         if not hits:
             groups.append(_Group(pid, codes, givens))
             continue
-        best = min(hits, key=lambda g: distance(codes, g.codes))
-        for g in [best] if kind == "person" and len(hits) > 1 and not all(given_agree(best.givens, h.givens) and distance(best.codes, h.codes) <= 1 for h in hits) else hits:
-            links.append((g.pids[0], pid))
-        best.pids.append(pid)
-        best.codes = sorted({*best.codes, *codes})
-        best.givens = sorted({*best.givens, *givens})
+        links += [(g.pids[0], pid) for g in hits]
+        for g in hits[1:]:
+            groups.remove(g)
+            codes, givens = sorted({*codes, *g.codes}), sorted({*givens, *g.givens})
+        hits[0].codes = sorted({*hits[0].codes, *codes})
+        hits[0].givens = sorted({*hits[0].givens, *givens})
     bare: list[_Group] = []
     for pid, codes, givens in (p for p in profiles if p not in full):
         fits = [(distance(codes, g.codes), g) for g in groups if initial_agrees(givens, g.givens) and distance(codes, g.codes) <= min(1, slack(codes, g.codes))]

@@ -39,7 +39,7 @@ PATTERNS: list[tuple[str, re.Pattern[str]]] = [
     ("id_number", re.compile(r"(?<![\w/])(?:[A-Z]{2}\s?(?:\d{6}|\d{2}\s\d{2}\s\d{2})\s?[A-Z]|[a-z]{2}\s?\d{6}\s?[a-z])(?![\w/])")),
     ("id_number", re.compile(r"(?<![\w/])[A-Z]\d{8}(?![\w/])")),
     ("id_number", re.compile(r"(?<![\w.])\d{1,2}\.\d{3}\.\d{3}-[\dKk](?![\w])")),
-    ("id_number", re.compile(r"(?<![\w.,+/()-])(?<!\d\s)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[-+/\s]\d{4}(?![\w/]|[.,]\d)(?!\s\d)")),
+    ("id_number", re.compile(r"(?<![\w.,+/-])(?<!\d\s)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[-+/\s]\d{4}(?![\w/]|[.,]\d)(?!\s\d)")),
     ("phone", re.compile(rf"(?<![\w+])(?:\+|00)\d{{1,3}}(?:\s?\(0\))?(?:[\s./-]?\d{{2,7}}){{2,6}}\b{EXTENSION}")),
     ("phone", re.compile(rf"(?<![\w.,/-])(?:\(0\d{{1,4}}\)\s?|0\d{{1,4}}[\s./-])\d{{3}}[\s./-]?\d{{4}}\b{EXTENSION}")),
     ("phone", re.compile(rf"(?<![\w.,/-])0\d{{9,10}}\b{EXTENSION}")),
@@ -73,7 +73,8 @@ def fold(s: str) -> str:
 class Roll:
     """Members, told from private persons under any spelling of their names."""
 
-    def __init__(self, full_names: Iterable[str]) -> None:
+    def __init__(self, full_names: Iterable[str], parties: Iterable[str] = ()) -> None:
+        self.party_words = {fold(w) for p in parties for w in p.split()}
         self.by_letter: dict[str, list[tuple[str, str]]] = {}
         self.exact: dict[str, list[str]] = {}
         for full in full_names:
@@ -103,12 +104,11 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
     def free(a: int, b: int) -> bool:
         return all(b <= x or y <= a for x, y in taken)
 
-    if any(c.isdigit() for c in text) or "@" in text or "five" in text.lower() or "at)" in text or "at]" in text:
-        for kind, pattern in PATTERNS:
-            for m in pattern.finditer(text):
-                if free(*m.span()):
-                    taken.append(m.span())
-                    out.append((kind, m.group(), *m.span()))
+    for kind, pattern in PATTERNS:
+        for m in pattern.finditer(text):
+            if free(*m.span()):
+                taken.append(m.span())
+                out.append((kind, m.group(), *m.span()))
     said_by = fold(speaker or "")
     firsts = {w[0] for w in map(fold, re.split(r"[\s,._]+", speaker or "")) if w}
 
@@ -123,7 +123,7 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
         before = text[max(0, a - 40) : a]
         if not free(a, b):
             pos = a + 1
-        elif m["g3"] and IN_BRACKETS.search(before) and text[b : b + 1] in ")]":
+        elif m["g3"] and (fold(m["s3"]) in roll.party_words or IN_BRACKETS.search(before) and re.match(r"[)\]]\s*:", text[b : b + 9])):
             pass  # an abbreviated party
         elif m["s2"] and not m["s2"].isupper() and fold(m["s2"]) in FULL:
             pos = a + len(m["s2"])  # two persons in a row
@@ -154,15 +154,16 @@ SPAN = "doc_id bigint, kind string, value string, start int, stop int"
 def detect(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id, kind, value, start, stop) of every piece of personal information in whole texts.
 
-    ``members`` (full_name) is the roll of those who are not meant, a table
+    ``members`` (full_name, party) is the roll of those who are not meant, a table
     of a fixed size, sent to each executor.  Null, empty and blank texts hold
     nothing.
     """
     names = [r["full_name"] for r in members.select("full_name").dropna().toLocalIterator()]
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+    parties = [r["party"] for r in members.select("party").dropna().distinct().toLocalIterator()]
+    shared = docs.sparkSession.sparkContext.broadcast((names, parties))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = Roll(shared.value)
+        roll = Roll(*shared.value)
         for b in batches:
             rows = [(d, *x) for d, t, s in zip(*(b.column(i).to_pylist() for i in range(3))) for x in find(t, roll, s)]
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -232,10 +233,33 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
         return re.sub(DIGIT_WORD, lambda _: said[next(bytes_) % 10], value, flags=re.I)
     bytes_ = _stream(key, kind, canonical(kind, value), attempt)
     out = ""
+    if kind == "phone":
+        # What makes it a number stays: +, leading zeros, a zero in brackets, the word for an extension.
+        m = re.match(r"(?:\+|00|0|\(0)?", value)
+        out, i = m.group(), m.end()
+        for j in range(i, len(value)):
+            c = value[j]
+            out += c if not c.isdigit() or value[j - 1 : j + 2] == "(0)" else str(1 + next(bytes_) % 9)
+        return out
+    if m := re.fullmatch(r"(\d{6})([-+/\s])(\d{4})", value):
+        return f"{next(bytes_) % 100:02}{1 + next(bytes_) % 12:02}{1 + next(bytes_) % 28:02}{m[2]}{next(bytes_) % 100:02}{next(bytes_) % 100:02}" if kind == "id_number" else value
+    if m := re.fullmatch(r"([\d.]+-)[Kk]", value):
+        return re.sub(r"\d", lambda _: str(next(bytes_) % 10), m[1]) + value[-1]
     if kind in ("email", "address"):
         keep = rf"^(?:at|dot|AT|DOT|example|com|net|org|test|PO|Box|Flat|bis|ter|quater|{STREET_FR}|d|de|du|des|la|{BUILDING}|{STREET[:-3]})$"
         for part in re.findall(r"[^\W\d_]+|\d|.", value, re.S):
-            out += str(next(bytes_) % 10) if part.isdigit() else part if not part.isalpha() or re.match(keep, part) else _word(bytes_, part)
+            if part.isdigit():
+                out += str(next(bytes_) % 10) if out[-1:].isdigit() else str(1 + next(bytes_) % 9)
+            elif not part.isalpha() or re.match(keep, part):
+                out += part
+            elif len(part) == 1:
+                out += chr((65 if part.isupper() else 97) + next(bytes_) % 26) if part.isupper() or kind == "email" else part
+            elif kind == "address" and (m := re.fullmatch(rf"(.+?)({STREET_DE})", part)):
+                out += _word(bytes_, m[1]) + m[2]
+            elif kind == "address" and part.isupper():
+                out += "".join(chr(65 + next(bytes_) % 26) for _ in part)
+            else:
+                out += _word(bytes_, part)
         return out
     for c in value:
         out += str(next(bytes_) % 10) if c.isdigit() else (chr((65 if c.isupper() else 97) + next(bytes_) % 26) if c.isascii() and c.isalpha() else c)

@@ -51,8 +51,20 @@ class PerfectHash:
     """
 
     def __init__(self, keys: list[bytes]) -> None:
-        n = self.n = max(1, len(keys))
-        self.n_buckets = n // 3 + 1
+        if len(set(keys)) != len(keys):
+            raise ValueError("the keys of a perfect hash must differ")
+        self.n = max(1, len(keys))
+        self.n_buckets = self.n // 3 + 1
+        for self.seed in range(1 << 16):
+            if self._place(keys):
+                break
+        else:
+            raise RuntimeError("no seed gives a perfect hash")
+        self._displace, self._slots = self.displace.tolist(), self.slots.tolist()
+
+    def _place(self, keys: list[bytes]) -> bool:
+        """Find all displacements under the present seed; few keys may need another one."""
+        n = self.n
         self.slots = np.full(n, -1, np.int32)
         self.displace = np.zeros(self.n_buckets, np.int64)
         hashes = [self._hashes(k) for k in keys]
@@ -67,29 +79,27 @@ class PerfectHash:
                 singles.append((b, members[0]))
                 continue
             x, y = (np.array([hashes[i][j] for i in members], np.int64) for j in (1, 2))
-            base = 0
-            while True:
+            found = False
+            for base in range(0, max(2 * n, 1 << 12), len(tries)):
                 at = (x[None, :] + (tries[:, None] + base) * y[None, :]) % n
-                good = free[at].all(1)
-                for d in np.flatnonzero(good):
+                for d in np.flatnonzero(free[at].all(1)):
                     if len(set(at[d].tolist())) == len(members):
+                        found = True
                         break
-                else:
-                    base += len(tries)
-                    if base > 1 << 24:
-                        raise ValueError("two keys can't be told apart; are they distinct?")
-                    continue
-                self.displace[b] = tries[d] + base
-                self.slots[at[d]] = members
-                free[at[d]] = False
-                break
+                if found:
+                    break
+            if not found:
+                return False
+            self.displace[b] = tries[d] + base
+            self.slots[at[d]] = members
+            free[at[d]] = False
         for (b, i), slot in zip(singles, np.flatnonzero(free).tolist()):
             self.displace[b] = -1 - slot
             self.slots[slot] = i
-        self._displace, self._slots = self.displace.tolist(), self.slots.tolist()
+        return True
 
     def _hashes(self, key: bytes) -> tuple[int, int, int]:
-        h = xxhash.xxh3_128_intdigest(key)
+        h = xxhash.xxh3_128_intdigest(key, self.seed)
         return h % self.n_buckets, (h >> 40) % self.n, 1 + (h >> 80) % max(1, self.n - 1)
 
     def slot(self, key: bytes) -> int:
