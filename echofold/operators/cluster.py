@@ -15,7 +15,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each keeps the edge count
     from growing and both only need the minimum of a neighbourhood, which is
     aggregated before the shuffle; a star of any size is never gathered.
-    Rounds are cut with checkpoint().  Loops and null ends are ignored; no
+    Rounds are cut with written tables.  Loops and null ends are ignored; no
     edges give no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()

@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+FOLDER = "echofold-tables"
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """Our folder in the one that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="echofold-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="echofold-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{FOLDER}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder once; later plans start from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written once as a table in the shared folder; later plans start from there.
+
+    Unlike checkpoint(), which computes its input twice, this runs the plan
+    once, and what is read back is compressed and read by column.  Values
+    that depend on where rows lie, such as monotonically_increasing_id(), are
+    fixed by it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that cut() wrote in this session; DataFrames that read them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
