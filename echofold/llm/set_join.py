@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echofold.llm.frequency import combined
-from echofold.operators.shared import ensure_checkpoint_dir
+from echofold.operators.shared import cut
 from echofold.operators.skew import hot_keys
 
 #: Lists of more records than this are long: they are searched for candidates, not merged.
@@ -25,14 +24,6 @@ HOT_SHARE = 1 / 1024
 FLUSH = 1 << 20
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows as a compressed table in the shared folder; survives the loss of executors as checkpoint() does."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def merge_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
     """(record, occurrences) of the records in at least ``t`` of the ascending lists.
 
@@ -234,7 +225,7 @@ def _round(rows: DataFrame, threshold: float, short: int, hot: list[int]) -> tup
     flat = lambda c: F.flatten(F.collect_list(c))
     one = pieces.groupBy("record").agg(F.sum("n").alias("n"), flat("long").alias("long"), F.array_distinct(flat("hot")).alias("hot"), flat("partners").alias("partners"), flat("lens").alias("lens"))
     one = one.select("record", "n", F.size("hot").cast("bigint").alias("hot_n"), F.array_sort(F.concat("long", "hot")).alias("long"), "partners", "lens")
-    table = written(one.mapInArrow(_probe(threshold), "record bigint, n bigint, long array<bigint>, partners array<bigint>, counts array<bigint>, poor boolean"))
+    table = cut(one.mapInArrow(_probe(threshold), "record bigint, n bigint, long array<bigint>, partners array<bigint>, counts array<bigint>, poor boolean"))
     a = table.where(F.size("partners") > 0).select(F.col("record").alias("a"), F.col("n").alias("n_a"), F.col("long").alias("long_a"), F.explode(F.arrays_zip("partners", "counts")).alias("c"))
     a = a.select("a", "n_a", "long_a", F.col("c.partners").alias("b"), F.col("c.counts").alias("shared"))
     # No more can be common than either's long values; most chance meetings end here, before the wide join.
@@ -269,10 +260,10 @@ def similar_sets(rows: DataFrame, value: str, record: str, threshold: float = 0.
     # The lists grow until no list is long, so the last round leaves none.
     own = rest.join(poor, "record", "left_semi").distinct()
     sig = own.groupBy("record").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(s), F.col("term")).cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)])
-    sig = written(sig.withColumn("set_", F.sha2(F.concat_ws("|", "n", "s1", "s2"), 256)).select("record", "n", "set_"))
+    sig = cut(sig.withColumn("set_", F.sha2(F.concat_ws("|", "n", "s1", "s2"), 256)).select("record", "n", "set_"))
     rep = sig.groupBy("set_").agg(F.min("record").alias("rep"))
-    member = written(sig.join(rep, "set_").select("record", "rep", "n"))
-    left = written(own.join(member.where(F.col("record") == F.col("rep")).select("record"), "record", "left_semi").select("term", "record"))
+    member = cut(sig.join(rep, "set_").select("record", "rep", "n"))
+    left = cut(own.join(member.where(F.col("record") == F.col("rep")).select("record"), "record", "left_semi").select("term", "record"))
     size = left.select("record").distinct().count()
     found = []
     for k in range(1, 64):
@@ -281,7 +272,7 @@ def similar_sets(rows: DataFrame, value: str, record: str, threshold: float = 0.
         found.append(more)
         if short_k >= size or still.isEmpty():
             break
-        left = written(left.join(still, "record", "left_semi"))
+        left = cut(left.join(still, "record", "left_semi"))
     of_reps = found[0]
     for f in found[1:]:
         of_reps = of_reps.unionByName(f)
