@@ -129,6 +129,7 @@ def oracle_sql() -> dict[str, str]:
         "signed32": f"{with_} {LATEST}, u AS (SELECT path, unnest(fingerprint)::BIGINT & 4294967295 AS unsigned, (unnest(range(len(fingerprint))))::INT pos FROM latest) SELECT path, pos, unsigned, (CASE WHEN unsigned >= 2147483648 THEN unsigned - 4294967296 ELSE unsigned END)::INT AS signed FROM u",
         "cache_freshness_split": f"""{with_} {LATEST}, j AS (SELECT i.id, i.path, coalesce(abs(c.mtime - i.mtime) < 1.0, false) hit, i.duration di, c.duration dc, c.fingerprint fp FROM incoming_file i LEFT JOIN latest c ON i.path = c.path)
             SELECT id, path, hit, CASE WHEN hit AND coalesce(di, 0) = 0 AND coalesce(dc, 0) <> 0 THEN dc ELSE di END duration, CASE WHEN hit THEN coalesce(len(fp), 0)::INT END frames FROM j""",
+        "cache_progress": f"{with_} {LATEST} SELECT batch_no, count(*) FILTER (coalesce(abs(c.mtime - i.mtime) < 1.0, false)) cached, count(*) FILTER (NOT coalesce(abs(c.mtime - i.mtime) < 1.0, false)) to_compute FROM incoming_file i LEFT JOIN latest c ON i.path = c.path GROUP BY 1",
         "cache_upsert": f"""{with_} {LATEST}, new AS (SELECT * FROM (SELECT path, mtime, duration, fingerprint, row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, duration DESC NULLS LAST, fingerprint DESC NULLS LAST) rn FROM incoming_file WHERE path IS NOT NULL) WHERE rn = 1)
             SELECT path, mtime, duration, len(fingerprint)::INT frames FROM latest WHERE path NOT IN (SELECT path FROM new) UNION ALL SELECT path, mtime, duration, len(fingerprint)::INT FROM new""",
         "backfill_missing": f"{with_} {LATEST}, gap AS (SELECT * FROM latest l WHERE NOT EXISTS (SELECT 1 FROM indexed_file i WHERE i.path = l.path)) SELECT path, term FROM {terms_of('gap', 'fingerprint')}",

@@ -54,6 +54,12 @@ def cache_freshness_split(spark: SparkSession, d: str) -> DataFrame:
     return t.select("id", "path", "hit", "duration", F.size(F.when(F.col("hit"), F.coalesce("cached_fingerprint", F.array().cast("array<int>")))).alias("frames"))
 
 
+def cache_progress(spark: SparkSession, d: str) -> DataFrame:
+    """How many files of each batch are cached and how many have to be computed."""
+    t = src.split_fresh(table(spark, d, "incoming_file").select("batch_no", "path", "mtime", "duration"), table(spark, d, "fingerprint_cache"))
+    return t.groupBy("batch_no").agg(F.count_if("hit").alias("cached"), F.count_if(~F.col("hit")).alias("to_compute"))
+
+
 def cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     new = table(spark, d, "incoming_file").select("path", "mtime", "duration", "fingerprint")
     t = store.upsert(src.latest(table(spark, d, "fingerprint_cache")), new)
@@ -231,7 +237,7 @@ def p5_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = (
-    scan_min_size, coerced_info, signed32, cache_freshness_split, cache_upsert, backfill_missing, eligible, cache_count,
+    scan_min_size, coerced_info, signed32, cache_freshness_split, cache_progress, cache_upsert, backfill_missing, eligible, cache_count,
     term_postings, term_counts, document_frequency, df_capped_postings, shared_terms, candidate_pairs, candidates_of_posting,
     hamming_at_offset, fingerprint_similarity, normalize_title, normalize_artist, normalize_stem, identity_score, edges,
     components, duplicate_groups, keep_best, report_rows, report_summary, json_report, apply_plan, apply_counts,

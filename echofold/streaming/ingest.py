@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from echofold.sources.files import Backend, ensure_fingerprints, wanted
+from echofold.sources.files import Backend, ensure_fingerprints, local_path, wanted
 from echofold.sources.store import SnapshotStore
 
 
@@ -16,7 +16,7 @@ BINARY = "path string, modificationTime timestamp, length bigint, content binary
 def listing_stream(spark: SparkSession, directory: str) -> DataFrame:
     """(path, size, mtime, duration) of files as they arrive."""
     found = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").load(directory)
-    return wanted(found.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.lit(0.0).alias("duration")))
+    return wanted(found.select(local_path(F.col("path")).alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.lit(0.0).alias("duration")))
 
 
 def start(files: DataFrame, store: SnapshotStore, backend: Backend, checkpoint: str, once: bool = True) -> StreamingQuery:
