@@ -213,14 +213,15 @@ def _confirm(threshold: float):  # noqa: ANN202
     return run
 
 
-def _round(rows: DataFrame, threshold: float, short: int, hot: list[int]) -> tuple[DataFrame, DataFrame]:
-    """(pairs, poor records) of rows (value, record).  Pairs of two poor records without a common short value are still open."""
-    value = F.col("term")
-    listed = rows.where(~value.isin(hot)) if hot else rows
+def _round(listed: DataFrame, hot: DataFrame | None, threshold: float, short: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, poor records) of rows (term, record); ``hot`` has those of the hot values.
+
+    Pairs of two poor records without a common short value are still open.
+    """
     pieces = listed.repartition("term").sortWithinPartitions("term", "record").select("term", "record").mapInArrow(_pieces(short), PIECE)
     pieces = pieces.withColumn("hot", F.array().cast("array<bigint>"))
-    if hot:
-        h = rows.where(value.isin(hot)).select("term", "record").mapInArrow(_hot_pieces, PIECE)
+    if hot is not None:
+        h = hot.select("term", "record").mapInArrow(_hot_pieces, PIECE)
         pieces = pieces.unionByName(h.select("record", "n", F.array().cast("array<bigint>").alias("long"), "partners", "lens", F.col("long").alias("hot")))
     flat = lambda c: F.flatten(F.collect_list(c))
     one = pieces.groupBy("record").agg(F.sum("n").alias("n"), flat("long").alias("long"), F.array_distinct(flat("hot")).alias("hot"), flat("partners").alias("partners"), flat("lens").alias("lens"))
@@ -249,10 +250,13 @@ def similar_sets(rows: DataFrame, value: str, record: str, threshold: float = 0.
     none is left.  Nulls do not count; records without values match nothing;
     repeated rows count once.
     """
-    rest = combined(rows, value, record).select("term", "record")
-    valid = rows.select(value, record).dropna()
-    hot = [k for k, _ in hot_keys(valid.select(F.col(value).cast("bigint").alias("term")), "term", HOT_SHARE)]
-    pairs, poor = _round(rest, threshold, short, hot)
+    valid = rows.select(F.col(value).cast("bigint").alias("term"), F.col(record).cast("bigint").alias("record")).dropna()
+    keys = [k for k, _ in hot_keys(valid.select("term"), "term", HOT_SHARE)]
+    # Told apart in the scan: hot values never pass through the lists.
+    is_hot = F.col("term").isin(keys)
+    listed = combined(valid.where(~is_hot) if keys else valid, "term", "record").select("term", "record")
+    pairs, poor = _round(listed, valid.where(is_hot) if keys else None, threshold, short)
+    rest = combined(valid, "term", "record").select("term", "record")
     out = [pairs]
     if poor.isEmpty():
         return pairs
@@ -268,7 +272,7 @@ def similar_sets(rows: DataFrame, value: str, record: str, threshold: float = 0.
     found = []
     for k in range(1, 64):
         short_k = short * 8**k
-        more, still = _round(left, threshold, short_k, [])
+        more, still = _round(left, None, threshold, short_k)
         found.append(more)
         if short_k >= size or still.isEmpty():
             break
