@@ -19,6 +19,8 @@ SEED, BLOCK = 20, 6
 AGREE = 4
 #: Letters by which alignments of one passage may drift apart, as altered words differ in length.
 DRIFT = 60
+#: Letters that a comparison may skip in search of the next word, at most.
+STRIDE = 120
 #: What stands between brackets or dashes and is no longer than this is an interruption or a page mark.
 ASIDE = 140
 #: Letters of items that one search holds; more items are searched in several passes.
@@ -93,7 +95,6 @@ class Passages:
         for at, seed in self.hits(run):
             for item, i in self.seeds[seed]:
                 by_item[item].append((at - self.start[item][i], at, i))
-        ends: list[int] | None = None
         found = []
         for item, hits in by_item.items():
             if len(hits) < AGREE:
@@ -109,31 +110,27 @@ class Passages:
                 _, at, i = hits[hi]
                 if (at, i) in seen:
                     continue
-                if ends is None:
-                    ends, p = [], 0
-                    for w in doc:
-                        p += len(w)
-                        ends.append(p)
-                cost = self._compare(item, i, run, at, ends, seen)
-                if self._passes(cost):
+                if self._passes(self._compare(item, i, run, at, seen)):
                     found.append(item)
                     break
         return found
 
-    def _compare(self, item: int, i: int, run: str, at: int, ends: list[int], seen: set[tuple[int, int]]) -> list[float]:
+    def _compare(self, item: int, i: int, run: str, at: int, seen: set[tuple[int, int]]) -> list[float]:
         """What each word of the item costs in the alignment through (word i, letter at): 0 if it stands there, else what was altered."""
-        w = self.words[item]
-        right = self._walk(w[i:], run[at:], at, ends, seen, i, 1)
-        left = self._walk([x[::-1] for x in w[:i][::-1]], run[:at][::-1], at, ends, seen, i, -1)
+        w, starts = self.words[item], self.start[item]
+        # No walk goes further than its words and what it may skip for each of them, however long the text is.
+        far_right, far_left = (n + STRIDE * k for n, k in ((starts[-1] - starts[i], len(w) - i), (starts[i], i)))
+        right = self._walk(w[i:], run[at : at + far_right], at, seen, i)
+        left = self._walk([x[::-1] for x in w[:i][::-1]], run[max(0, at - far_left) : at][::-1], at, None, i)
         return left[::-1] + right
 
-    def _walk(self, w: list[str], run: str, at: int, ends: list[int], seen: set[tuple[int, int]], i: int, way: int) -> list[float]:
-        """Costs of successive words, until four in a row are neither there nor soon after."""
+    def _walk(self, w: list[str], run: str, at: int, seen: set[tuple[int, int]] | None, i: int) -> list[float]:
+        """Costs of successive words, until some five in a row are neither there nor soon after."""
         costs: list[float] = []
         p = j = 0
         while j < len(w):
             if run.startswith(w[j], p):
-                if way > 0:
+                if seen is not None:
                     seen.add((at + p, i + j))
                 costs.append(0.0)
                 p += len(w[j])
@@ -191,10 +188,10 @@ def leaks(docs: DataFrame, items: DataFrame, at_least: int = PASSAGE_WORDS, alte
     spark, out, batch, letters = docs.sparkSession, [], [], 0
 
     def pass_(batch: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(batch)
+        shared = spark.sparkContext.broadcast(Passages(batch, at_least, altered))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = Passages(shared.value, at_least, altered).search
+            search = shared.value.search
             for b in batches:
                 ids, found = b.column(0).to_pylist(), [search(t) for t in b.column(1).to_pylist()]
                 pairs = [(d, i) for d, f in zip(ids, found) for i in f]

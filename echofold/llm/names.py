@@ -30,6 +30,8 @@ WORD_OF = {form: word for word, forms in BAND_WORDS.items() for form in forms}
 NOT_ARTISTS = ("Various Artists", "Unknown Artist")
 # Letters that sound alike, longest first.
 SOUNDS = (("qu", "kv"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("sch", "s"), ("sh", "s"), ("x", "ks"), ("q", "k"), ("c", "k"), ("z", "s"), ("y", "i"), ("w", "v"), ("dt", "t"))
+#: Codes of more letters are blocked by their ends alone.
+LONG = 48
 #: Least similarity of the nearest words of two names that were written on one file.
 SAME_FILE = 0.5
 
@@ -48,22 +50,24 @@ def sound(word: str) -> str:
 
 
 def near(a: str, b: str) -> int:
-    """Edits between two words, a swap of neighbours being one; 3 if there are more than two."""
+    """Edits between two words, a swap of neighbours being one; 3 if there are more than two.  Only a band of five is computed."""
     if a == b:
         return 0
     if abs(len(a) - len(b)) > 2:
         return 3
-    old, row = [], list(range(len(b) + 1))
+    older: dict[int, int] = {}
+    old: dict[int, int] = {}
+    row = {j: j for j in range(min(2, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        older, old, row = old, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > 2 and min(old) > 2:
+        older, old, row = old, row, {0: i} if i <= 2 else {}
+        for j in range(max(1, i - 2), min(len(b), i + 2) + 1):
+            d = min(old.get(j, 3) + 1, row.get(j - 1, 3) + 1, old.get(j - 1, 3) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, older.get(j - 2, 3) + 1)
+            row[j] = min(d, 3)
+        if min(row.values()) > 2 and min(old.values(), default=3) > 2:
             return 3
-    return min(row[-1], 3)
+    return row.get(len(b), 3)
 
 
 @lru_cache(1 << 14)
@@ -135,8 +139,11 @@ def block_keys(kind: str, codes: list[str], givens: list[str]) -> set[str]:
     out = set()
     for c in codes:
         out.add(f"{kind[0]}{c}")
-        if len(c) > 4:
+        if len(c) > LONG:
+            out.update((f"{kind[0]}<<{c[:LONG // 2]}", f"{kind[0]}>>{c[-LONG // 2:]}"))
+        elif len(c) > 4:
             out.update(f"{kind[0]}{c[:i]}{c[i + 1:]}" for i in range(len(c)))
+        if len(c) > 4:
             for g in givens:
                 if kind == "band":
                     out.update((f"b<{g}|{c[:5]}", f"b>{g}|{c[-5:]}"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect, insort
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ EXTENSION = r"(?:,?\s(?:ext\.?|extension|x|Durchwahl|poste)\s?\d{1,5})?"
 AT, DOT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|ät)\s?[\])}]\s?)", r"(?:\.|\s?[\[({]\s?(?:dot|DOT|punkt|point)\s?[\])}]\s?)"
 
 PATTERNS: list[tuple[str, re.Pattern[str]]] = [
-    ("email", re.compile(rf"(?<![\w.+-])[\w%+-]+(?:\.[\w%+-]+)*{AT}[\w-]+(?:{DOT}[\w-]+)+")),
+    ("email", re.compile(rf"(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*{AT}[\w-]+(?:{DOT}[\w-]+)+")),
     ("address", re.compile(rf"(?<!\w)(?:Flat\s\d+[A-Za-z]?,\s)?\d{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
     ("address", re.compile(rf"(?<!\w)(?:{CAP}\s){{1,2}}{BUILDING},\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
     ("address", re.compile(rf"(?<!\w)P\.?\s?O\.?\sBox\s\d+,\s{TOWN}")),
@@ -51,7 +53,7 @@ PATTERNS: list[tuple[str, re.Pattern[str]]] = [
 GIVEN = "(?:" + "|".join(sorted({f for full, (_, short) in SHORT_FORMS.items() for f in (full, *short)}, key=lambda x: (-len(x), x))) + ")"
 SURNAME = rf"(?:(?:[OD]['’]|Mc|Mac|von\s|van\s|de\s)?[{UP}][{LOW}]{{2,}}(?:-[{UP}][{LOW}]+)*)"
 CAPITALS = rf"[{UP}]{{3,}}(?:-[{UP}]{{2,}})*"
-MIDDLE = r"(?:\s[A-Z]\.)*"
+MIDDLE = r"(?:\s[A-Z]\.){0,3}"
 NAME = re.compile(rf"(?<![\w'’-])(?:(?P<g1>{GIVEN}){MIDDLE}\s(?P<s1>{SURNAME}|{CAPITALS})|(?P<s2>{CAPITALS}|{SURNAME}),\s(?P<g2>{GIVEN}|[A-Z]\.){MIDDLE}|(?P<g3>[A-Z])\.{MIDDLE}\s(?P<s3>{SURNAME}|{CAPITALS}))(?![\w-]|\s(?:{STREET}|{BUILDING}|Foundation|Trust|Prize|Award|Library|School|Hospital|Institute|Act|Bill|Report|Committee|Alliance|Group|Union|Bench)\b)")
 # Words after which a person is named, for given names that no list has.
 CUE = re.compile(r"(?:Applicant:|[Nn]amed?:?|\bfile of|\bcase of|lodged by|letter from|signs as|signed by|said of|of mine,|neighbour|gallery,|patient|claimant|Antrag von|\bFall|[Ss]chrieb|Akte von|lettre de|dossier de|m['’]écrit)\s(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|M|Mme|Dame|Sir)\.?\s)?(?=[A-ZÀ-Þ])")
@@ -65,8 +67,6 @@ IN_BRACKETS = re.compile(r"[(\[]\s*$")
 
 def fold(s: str) -> str:
     """Lower case, without accents that typing adds or loses."""
-    import unicodedata
-
     return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c) and c.isalnum())
 
 
@@ -98,16 +98,17 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
     """(kind, value, start, end) of each piece, in order and without overlap; of overlapping ones the earlier pattern's."""
     if not text:
         return []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # ordered, without overlap
     out = []
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
+        i = bisect(taken, (a, b))
+        return (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0])
 
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text):
             if free(*m.span()):
-                taken.append(m.span())
+                insort(taken, m.span())
                 out.append((kind, m.group(), *m.span()))
     said_by = fold(speaker or "")
     firsts = {w[0] for w in map(fold, re.split(r"[\s,._]+", speaker or "")) if w}
@@ -128,12 +129,12 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
         elif m["s2"] and not m["s2"].isupper() and fold(m["s2"]) in FULL:
             pos = a + len(m["s2"])  # two persons in a row
         elif not MEMBER.search(before) and not (TURN.match(text, b) and OPENS.search(before)) and private(m):
-            taken.append((a, b))
+            insort(taken, (a, b))
             out.append(("name", m.group(), a, b))
     for cue in CUE.finditer(text):
         m = ANY.match(text, cue.end())
         if m and free(*m.span()) and fold(m["g1"] or m["g2"]) not in FULL and private(_Named(m)):
-            taken.append(m.span())
+            insort(taken, m.span())
             out.append(("name", m.group(), *m.span()))
     return sorted(out, key=lambda x: x[2])
 

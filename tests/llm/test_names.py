@@ -1,6 +1,8 @@
 import itertools
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from echofold.llm import names
 
@@ -43,6 +45,29 @@ def test_near():
     assert [names.near(a, b) for a, b in (("ab", "ba"), ("abc", "abc"), ("abc", "abd"), ("abcd", "badc"), ("a", "abcd"), ("kitten", "sitting"))] == [1, 0, 1, 2, 3, 3]
 
 
+def test_long_names():
+    a, b = "abcdefghij" * 3000, "abcdefghij" * 2999 + "abcdefghiq"
+    assert names.near(a, b) == 1 and names.near(a, b[::-1]) == 3
+    keys = names.block_keys("person", [a], ["ann"])
+    assert sum(map(len, keys)) < 2 * len(a) and keys & names.block_keys("person", [b], ["ann"])
+
+
+def osa(a, b):
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("abc", max_size=9), st.text("abc", max_size=9))
+def test_near_is_the_edit_distance(a, b):
+    assert names.near(a, b) == min(3, osa(a, b))
+
+
 def test_variants(spark):
     rows = [(f"/library/s1/{x}/Album/t.mp3", ("t", None)) for v in ARTISTS for x in v if "/" not in x]
     rows += [(None, None), ("/short", (None, "  ")), ("/library/s/Various Artists/x/y", (None, "Gerald Thateralm")), ("/library/s/Unknown Artist/x/y", (None, "Various Artists"))] + rows[:4]

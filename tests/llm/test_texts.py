@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -156,6 +157,15 @@ def test_cue_and_speaker():
     assert len(pii.find("x " * 100_000 + "lee@mail.example.org", ROLL)) == 1
 
 
+@pytest.mark.parametrize("unit", ["a", "A", "1", "%", "a.", "1 ", "A-", "Ab ", "(", "555 ", "five ", "A. ", " ", "-\n", "—"])
+def test_very_long_texts(unit):
+    text = unit * (400_000 // len(unit))
+    began = time.time()
+    pii.find(text, ROLL)
+    leak.Passages([(1, " ".join(ITEM))]).search(text)
+    assert time.time() - began < 20
+
+
 @pytest.mark.parametrize("kind,value", PIECES)
 def test_surrogate_form(kind, value):
     new = pii.surrogate(kind, value, "k")
