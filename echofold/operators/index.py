@@ -30,8 +30,8 @@ def document_frequency(post: DataFrame) -> DataFrame:
 def df_capped(post: DataFrame, df: DataFrame | None = None, cap: int = TERM_DF_CAP, least: int = 1) -> DataFrame:
     """Postings with their df, of the terms with least <= df <= cap.
 
-    The counts come from a window over the postings' own shuffle by term
-    unless ``df`` (counts of a wider scope) is given.
+    The counts are of ``post`` itself unless ``df`` (term, df), counts of a
+    wider scope, is given.
     """
     if df is None:
         counted = document_frequency(post).where(F.col("df").between(least, cap))
@@ -55,8 +55,8 @@ def shared_terms(post: DataFrame, key: str = "path", min_abs: int = MIN_SHARED_T
     found are counted exactly over the whole capped sets afterwards.
     """
     kept = df_capped(post, cap=cap, least=2).select(key, "term", "df")
-    rare_first = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc())
-    ranked = kept.withColumn("rank", F.row_number().over(rare_first))
+    frequent_first = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc())
+    ranked = kept.withColumn("rank", F.row_number().over(frequent_first))
     sets = kept.groupBy(key).agg(F.collect_list("term").alias("terms")).where(F.size("terms") >= min_abs)
     probe = ranked.where(F.col("rank") >= min_abs).select(key, "term")
     a = probe.select(F.col(key).alias("a"), "term")
