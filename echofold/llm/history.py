@@ -30,6 +30,12 @@ TELLING = 8
 #: Positions in a fingerprint; a content's number has the other bits of a BIGINT.
 POS_BITS = 20
 BLOCKS = 64
+#: A frame within so many bits of a frequent one counts as it does where frequent frames may carry a match.
+NEAR_BITS = 5
+#: Bits in which the rest of two contents may agree and still be as good as unrelated: 0.5, and four standard deviations over 8 frames.
+CHANCE = 0.625
+#: Contents on each side of a block that is compared by its frequent frames.
+BLOCK = 4096
 
 
 def selections(keys: int = KEYS, bits: int = KEY_BITS) -> list[int]:
@@ -107,6 +113,121 @@ def untelling(c: DataFrame, hot: list[int]) -> DataFrame:
     return old.join(new, "block").where(F.col("a") < F.col("b")).select("a", "b")
 
 
+def hot_part(threshold: float) -> float:
+    """The share of frequent frames from which an overlap may reach the threshold though its other frames agree no better than CHANCE."""
+    return max(0.0, 1 - (1 - threshold) / (1 - CHANCE))
+
+
+def hot_masks(c: DataFrame, hot: list[int], threshold: float, number: str = "number") -> DataFrame:
+    """(number, fingerprint, mask, kind) of ``c``, and its column new if it has one; ``mask`` has a bit for each frame that is frequent or nearly so.
+
+    Kind 1: the frequent frames of some overlap may carry a match, be the
+    other content as long or longer (overlaps are then this one's frames but
+    MAX_OFFSET at one end).  Kind 0: any other with frequent frames.  -1: none.
+    """
+    near_to, part = np.array(sorted(x & 0xFFFFFFFF for x in hot if x is not None), np.uint32), hot_part(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            frames, start, n = hamming._ragged(b.column("fingerprint"))
+            distinct, at = np.unique(frames, return_inverse=True)
+            near = np.zeros(len(distinct), bool)
+            for x in near_to:
+                near |= np.bitwise_count(distinct ^ x) <= NEAR_BITS
+            is_hot = near[at]
+            upto = np.concatenate([[0], np.cumsum(is_hot)])
+            kind = np.where(upto[start + n] > upto[start], 0, -1)
+            for left_out in range(MAX_OFFSET + 1):
+                m = np.maximum(n - left_out, 0)
+                most = np.maximum(upto[start + m] - upto[start], upto[start + n] - upto[start + n - m])
+                kind[(m > 0) & (most >= part * m) & (most > 0)] = 1
+            masks = [np.packbits(is_hot[s : s + k]).tobytes() for s, k in zip(start, n)]
+            added = [pa.array(masks, pa.binary()), pa.array(kind, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "mask", "kind"])
+
+    kept = c.select(F.col(number).cast("bigint").alias("number"), "fingerprint", *[x for x in c.columns if x == "new"])
+    return cut(kept.mapInArrow(run, ", ".join(f"{x} {t}" for x, t in kept.dtypes) + ", mask binary, kind int"))
+
+
+def _carried(left: pa.Table, right: pa.Table, threshold: float, twice: bool) -> tuple[list, list]:
+    """Numbers of the pairs of two tables of hot_masks() that reach the threshold at a shift where frequent frames may carry it."""
+    part, found_a, found_b = hot_part(threshold), [], []
+
+    def side(t: pa.Table) -> tuple:
+        frames, start, n = hamming._ragged(t.column("fingerprint"))
+        kind, number = np.asarray(t.column("kind")), np.asarray(t.column("number"))
+        order = np.lexsort((n, kind < 1))
+        return frames, start[order], n[order], kind[order], number[order], t.column("mask").take(pa.array(order)).to_pylist()
+
+    def tiles(x: tuple, most: int) -> Iterator[tuple]:
+        lo, tight = 0, int((x[3] >= 1).sum())
+        while lo < len(x[2]):
+            hi = min(lo + most, tight if lo < tight else len(x[2]))
+            hi = max(lo + 1, min(hi, lo + (1 << 24) // max(1, int(x[2][lo:hi].max()))))
+            wide = np.zeros((hi - lo, int(x[2][lo:hi].max())), np.float32)
+            for row, m, k in zip(wide, x[5][lo:hi], x[2][lo:hi]):
+                row[:k] = np.unpackbits(np.frombuffer(m, np.uint8), count=int(k))
+            yield wide, (x[0], x[1][lo:hi], x[2][lo:hi]), x[3][lo:hi], x[4][lo:hi]
+            lo = hi
+
+    a_side, b_side = side(left), side(right)
+    b_tiles = list(tiles(b_side, 256))
+    for wa, a, kind_a, num_a in tiles(a_side, 1024):
+        for wb, b, kind_b, num_b in b_tiles:
+            if kind_a[0] < 1 and kind_b[0] < 1:
+                continue
+            left_ = num_a[:, None] < num_b if twice else np.ones((len(num_a), len(num_b)), bool)
+            good = np.zeros_like(left_)
+            na, nb = a[2].astype(np.float32), b[2].astype(np.float32)
+            for k in range(-MAX_OFFSET, MAX_OFFSET + 1):
+                ka, kb = max(k, 0), max(-k, 0)
+                w = min(wa.shape[1] - ka, wb.shape[1] - kb)
+                if w <= 0:
+                    continue
+                n = np.minimum((na - ka)[:, None], nb - kb)
+                ok = wa[:, ka : ka + w] @ wb[:, kb : kb + w].T >= part * n - 1e-3
+                ok &= n > 0
+                ok &= left_
+                i, j = np.nonzero(ok)
+                step = max(1, (1 << 21) // w)
+                for lo in range(0, len(i), step):
+                    x, y = i[lo : lo + step], j[lo : lo + step]
+                    p, q = (a[0], a[1][x], a[2][x]), (b[0], b[1][y], b[2][y])
+                    s = hamming._at(p, q, np.arange(len(x)), ka) if k >= 0 else hamming._at(q, p, np.arange(len(x)), kb)
+                    good[x[s >= threshold], y[s >= threshold]] = True
+                left_ &= ~good
+            i, j = np.nonzero(good)
+            found_a += num_a[i].tolist()
+            found_b += num_b[j].tolist()
+    return found_a, found_b
+
+
+def carried(old: DataFrame, new: DataFrame, threshold: float, twice: bool) -> DataFrame:
+    """(a, b) of all contents that are near enough at a shift where their frequent frames may carry the match; exact.
+
+    Both are hot_masks(); ``twice`` as for coverage().  Pairs of which
+    neither is of kind 1 are left out.  Blocks of BLOCK contents a side are
+    compared by their masks, and contents only at shifts that the masks allow.
+    """
+    count = lambda x: x.agg(F.count("*").alias("n"), F.count_if(F.col("kind") >= 1).alias("tight")).first()
+    old, new = (x.where(F.col("kind") >= 0) for x in (old, new))
+    a, b = count(old), count(new)
+    if not a["n"] or not b["n"] or not a["tight"] + b["tight"]:
+        return old.sparkSession.createDataFrame([], "a bigint, b bigint")
+    ga, gb = -(-a["n"] // BLOCK), -(-b["n"] // BLOCK)
+    block = lambda g: F.pmod(F.xxhash64("number"), F.lit(g)).cast("int")
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    columns = ["number", "fingerprint", "mask", "kind"]
+    left = old.select(*columns, block(ga).alias("i"), every(gb).alias("j")).groupBy("i", "j")
+    right = new.select(*columns, every(ga).alias("i"), block(gb).alias("j")).groupBy("i", "j")
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = _carried(x, y, threshold, twice) if len(x) and len(y) else ([], [])
+        return pa.table([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+
+    return left.cogroup(right).applyInArrow(compare, "a bigint, b bigint")
+
+
 def numbered(c: DataFrame) -> DataFrame:
     """``c`` written once, with new (is it in a batch?) and dense numbers, all new contents after all others."""
     c = cut(c.withColumn("new", F.col("last") >= 1).withColumn("row", F.monotonically_increasing_id()))
@@ -142,7 +263,9 @@ def earlier_copies(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD) ->
     c, members = contents(files)
     c = numbered(c)
     hot = hot_frames(c)
-    near = coverage(paragraph_hashes(c, hot), paragraph_hashes(c.where("new"), hot), twice=True).unionByName(untelling(c, hot)).distinct()
+    masks = hot_masks(c, hot, threshold)
+    near = coverage(paragraph_hashes(c, hot), paragraph_hashes(c.where("new"), hot), twice=True).unionByName(untelling(c, hot))
+    near = near.unionByName(carried(masks, masks.where("new"), threshold, twice=True)).distinct()
     near = confirmed(near, c, threshold)
     same = c.where(F.col("first") < F.col("last")).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     all_ = near.unionByName(same)

@@ -69,3 +69,23 @@ def test_silence(spark, monkeypatch):
 def test_nothing(spark):
     assert history.earlier_copies(spark.createDataFrame([], SCHEMA)).count() == 0
     assert history.earlier_copies(spark.createDataFrame([(1, 0, None)], SCHEMA)).count() == 0
+
+
+def family(rng, n, frames, altered):
+    """Copies of one recording with some frames replaced by others."""
+    frame = lambda: rng.randrange(-(2**31), 2**31)
+    first = [frame() for _ in range(frames)]
+    out = []
+    for _ in range(n):
+        fp = list(first)
+        for i in rng.sample(range(frames), rng.randrange(*altered)):
+            fp[i] = frame()
+        out.append(fp)
+    return out
+
+
+def test_family(spark):
+    """A family of more near copies than a frame may have contents keeps its evidence."""
+    rows = [(i, i % 3, fp) for i, fp in enumerate(family(random.Random(7), 90, 60, (2, 9)))]
+    got = [tuple(r) for r in history.earlier_copies(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) == 2700
