@@ -25,11 +25,10 @@ KEYS, KEY_BITS = 20, 20
 #: Frames in more than this share of the contents (and more than HOT_LEAST) say nothing, as silence does.
 #: At most frames-per-content / HOT_SHARE frames are that frequent.
 HOT_SHARE, HOT_LEAST = 1 / 1000, 64
-#: Contents with fewer telling frames than this are compared with each other in blocks.
+#: Contents with fewer telling frames than this, or with overlaps so short, are compared with all others in full.
 TELLING = 8
 #: Positions in a fingerprint; a content's number has the other bits of a BIGINT.
 POS_BITS = 20
-BLOCKS = 64
 #: A frame within so many bits of a frequent one counts as it does where frequent frames may carry a match.
 NEAR_BITS = 5
 #: Bits in which the rest of two contents may agree and still be as good as unrelated: 0.5, and four standard deviations over 8 frames.
@@ -104,15 +103,6 @@ def coverage(old: DataFrame, new: DataFrame, twice: bool) -> DataFrame:
     return at.where(F.col("q0") < F.col("q1")).select("a", "b").distinct()
 
 
-def untelling(c: DataFrame, hot: list[int]) -> DataFrame:
-    """(a, b) of all contents with too few telling frames for hashes, one of them new, in blocks.  Usually none."""
-    frames = F.filter("fingerprint", lambda x: ~x.isin(hot)) if hot else F.col("fingerprint")
-    few = c.where(F.size(frames) < TELLING).select("number", "new")
-    old = few.select(F.col("number").alias("a"), F.pmod("number", F.lit(BLOCKS)).cast("bigint").alias("block"))
-    new = few.where("new").select(F.col("number").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))).alias("block"))
-    return old.join(new, "block").where(F.col("a") < F.col("b")).select("a", "b")
-
-
 def hot_part(threshold: float) -> float:
     """The share of frequent frames from which an overlap may reach the threshold though its other frames agree no better than CHANCE."""
     return max(0.0, 1 - (1 - threshold) / (1 - CHANCE))
@@ -123,7 +113,8 @@ def hot_masks(c: DataFrame, hot: list[int], threshold: float, number: str = "num
 
     Kind 1: the frequent frames of some overlap may carry a match, be the
     other content as long or longer (overlaps are then this one's frames but
-    MAX_OFFSET at one end).  Kind 0: any other with frequent frames.  -1: none.
+    MAX_OFFSET at one end).  Kind 2: too few telling frames for hashes, in
+    all or in a short overlap.  Kind 0: any other with frequent frames.  -1: none.
     """
     near_to, part = np.array(sorted(x & 0xFFFFFFFF for x in hot if x is not None), np.uint32), hot_part(threshold)
 
@@ -141,6 +132,8 @@ def hot_masks(c: DataFrame, hot: list[int], threshold: float, number: str = "num
                 m = np.maximum(n - left_out, 0)
                 most = np.maximum(upto[start + m] - upto[start], upto[start + n] - upto[start + n - m])
                 kind[(m > 0) & (most >= part * m) & (most > 0)] = 1
+            upto = np.concatenate([[0], np.cumsum(~np.isin(frames, near_to))])
+            kind[(n > 0) & ((upto[start + n] - upto[start] < TELLING) | (n < MAX_OFFSET + TELLING))] = 2
             masks = [np.packbits(is_hot[s : s + k]).tobytes() for s, k in zip(start, n)]
             added = [pa.array(masks, pa.binary()), pa.array(kind, pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "mask", "kind"])
@@ -186,6 +179,8 @@ def _carried(left: pa.Table, right: pa.Table, threshold: float, twice: bool) ->
                     continue
                 n = np.minimum((na - ka)[:, None], nb - kb)
                 ok = wa[:, ka : ka + w] @ wb[:, kb : kb + w].T >= part * n - 1e-3
+                ok[kind_a == 2] = True
+                ok[:, kind_b == 2] = True
                 ok &= n > 0
                 ok &= left_
                 i, j = np.nonzero(ok)
@@ -203,15 +198,16 @@ def _carried(left: pa.Table, right: pa.Table, threshold: float, twice: bool) ->
 
 
 def carried(old: DataFrame, new: DataFrame, threshold: float, twice: bool) -> DataFrame:
-    """(a, b) of all contents that are near enough at a shift where their frequent frames may carry the match; exact.
+    """(a, b) of all contents that are near enough at a shift where their frequent frames may carry the match, or one of which is of kind 2; exact.
 
     Both are hot_masks(); ``twice`` as for coverage().  Pairs of which
-    neither is of kind 1 are left out.  Blocks of BLOCK contents a side are
+    neither is of kind 1 or 2 are left out.  Blocks of BLOCK contents a side are
     compared by their masks, and contents only at shifts that the masks allow.
     """
-    count = lambda x: x.agg(F.count("*").alias("n"), F.count_if(F.col("kind") >= 1).alias("tight")).first()
-    old, new = (x.where(F.col("kind") >= 0) for x in (old, new))
+    count = lambda x: x.agg(F.count("*").alias("n"), F.count_if(F.col("kind") >= 1).alias("tight"), F.count_if(F.col("kind") == 2).alias("full")).first()
     a, b = count(old), count(new)
+    if not a["full"] + b["full"]:
+        old, new = (x.where(F.col("kind") >= 0) for x in (old, new))
     if not a["n"] or not b["n"] or not a["tight"] + b["tight"]:
         return old.sparkSession.createDataFrame([], "a bigint, b bigint")
     ga, gb = -(-a["n"] // BLOCK), -(-b["n"] // BLOCK)
@@ -264,7 +260,7 @@ def earlier_copies(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD) ->
     c = numbered(c)
     hot = hot_frames(c)
     masks = hot_masks(c, hot, threshold)
-    near = coverage(paragraph_hashes(c, hot), paragraph_hashes(c.where("new"), hot), twice=True).unionByName(untelling(c, hot))
+    near = coverage(paragraph_hashes(c, hot), paragraph_hashes(c.where("new"), hot), twice=True)
     near = near.unionByName(carried(masks, masks.where("new"), threshold, twice=True)).distinct()
     near = confirmed(near, c, threshold)
     same = c.where(F.col("first") < F.col("last")).select(F.col("rep").alias("a"), F.col("rep").alias("b"))

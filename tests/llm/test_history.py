@@ -89,3 +89,19 @@ def test_family(spark):
     rows = [(i, i % 3, fp) for i, fp in enumerate(family(random.Random(7), 90, 60, (2, 9)))]
     got = [tuple(r) for r in history.earlier_copies(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) == 2700
+
+
+def test_silence_and_telling(spark, monkeypatch):
+    """Contents of too few telling frames, or of frequent frames for the most part, are compared with any others."""
+    monkeypatch.setattr(history, "HOT_LEAST", 3)
+    rng = random.Random(5)
+    frame = lambda: rng.randrange(-(2**31), 2**31)
+    silent = [1] * 100
+    rows = [(i, 0, [1] * 60 + [frame() for _ in range(60)]) for i in range(4)]
+    rows += [(10, 0, silent), (11, 1, [1] * 90 + [frame() for _ in range(10)])]
+    rows += [(20 + i, i, [1] * 75 + [frame() for _ in range(25)]) for i in range(2)]
+    long = [frame() for _ in range(60)]
+    four_bits = lambda x: ((x & 0xFFFFFFFF) ^ sum(1 << i for i in rng.sample(range(32), 4)) ^ (1 << 31)) - 2**31
+    rows += [(30, 0, long)] + [(31 + i, 1, [four_bits(x) for x in long[3 * i : 3 * i + 6]]) for i in range(6)]
+    got = {tuple(r) for r in history.earlier_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows) and {(10, 11), (20, 21), (30, 31), (30, 36)} <= got
