@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echofold.functions import hamming
@@ -87,14 +87,14 @@ def paragraph_hashes(c: DataFrame, hot: list[int], number: str = "number") -> Da
     return c.select(F.col(number).cast("bigint").alias("number"), "fingerprint").mapInArrow(run, "key bigint, at bigint")
 
 
-def coverage(old: DataFrame, new: DataFrame, twice: bool) -> DataFrame:
+def coverage(old: DataFrame, new: DataFrame, twice: bool, on: tuple[str, ...] = ("key",)) -> DataFrame:
     """(a, b): numbers of contents of ``old`` and ``new`` that share paragraphs of two frames or more in one alignment.
 
     Both are paragraph_hashes().  ``twice`` says that the new contents are
     among the old ones too, with numbers above those of all others: then two
-    new ones meet once.
+    new ones meet once.  ``on`` may name the bucket besides the key.
     """
-    met = old.join(new.select("key", F.col("at").alias("to")), "key")
+    met = old.join(new.select(*on, F.col("at").alias("to")), list(on))
     if twice:
         met = met.where(F.shiftright("at", POS_BITS) < F.shiftright("to", POS_BITS))
     p, q = (F.col(x).bitwiseAND(F.lit((1 << POS_BITS) - 1)) for x in ("at", "to"))
@@ -139,7 +139,7 @@ def hot_masks(c: DataFrame, hot: list[int], threshold: float, number: str = "num
             yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "mask", "kind"])
 
     kept = c.select(F.col(number).cast("bigint").alias("number"), "fingerprint", *[x for x in c.columns if x == "new"])
-    return cut(kept.mapInArrow(run, ", ".join(f"{x} {t}" for x, t in kept.dtypes) + ", mask binary, kind int"))
+    return kept.mapInArrow(run, ", ".join(f"{x} {t}" for x, t in kept.dtypes) + ", mask binary, kind int")
 
 
 def _carried(left: pa.Table, right: pa.Table, threshold: float, twice: bool) -> tuple[list, list]:
@@ -259,7 +259,7 @@ def earlier_copies(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD) ->
     c, members = contents(files)
     c = numbered(c)
     hot = hot_frames(c)
-    masks = hot_masks(c, hot, threshold)
+    masks = cut(hot_masks(c, hot, threshold))
     near = coverage(paragraph_hashes(c, hot), paragraph_hashes(c.where("new"), hot), twice=True)
     near = near.unionByName(carried(masks, masks.where("new"), threshold, twice=True)).distinct()
     near = confirmed(near, c, threshold)
@@ -278,6 +278,9 @@ class HashStore:
     hash buckets and, of the contents, only candidates; append() adds a
     batch.  Hot frames are fixed by the first append.  A batch is identified
     by its number: appending it again after a failure replaces its folders.
+    Contents whose frequent frames may carry a match, or that have too few
+    others, are compared exactly, as earlier_copies() does, from masks that
+    are kept as well.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
@@ -296,6 +299,12 @@ class HashStore:
     def hashes(self) -> DataFrame:
         return self._read("hashes", "key bigint, at bigint, part int, bucket int")
 
+    def masks(self) -> DataFrame:
+        return self._read("masks", "number bigint, fingerprint array<int>, mask binary, kind int, part int")
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
+
     def hot(self) -> list[int]:
         return [r["x"] for r in self._read("hot", "x int").collect()]
 
@@ -305,15 +314,20 @@ class HashStore:
         if not self._has("hot"):
             self.spark.createDataFrame([(x,) for x in hot_frames(contents(f)[0])], "x int").coalesce(1).write.parquet(f"{self.root}/hot")
         f.drop("part").write.mode("overwrite").parquet(f"{self.root}/files/part={number}")
-        h = paragraph_hashes(f, self.hot(), "id").select("key", "at", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket"))
+        h = paragraph_hashes(f, self.hot(), "id").select("key", "at", self._bucket())
+        hot_masks(f, self.hot(), SIMILARITY_THRESHOLD, "id").write.mode("overwrite").parquet(f"{self.root}/masks/part={number}")
         h.repartition("bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/hashes/part={number}")
 
     def match(self, batch: DataFrame, number: int, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
         """(id_a, id_b): files of the new batch and earlier ones of the same or nearly the same content."""
         f = batch.select("id", "fingerprint").where(F.size("fingerprint") > 0)
-        old = self.hashes().where(F.col("part") < number).select("key", "at")
+        old = self.hashes().where(F.col("part") < number).select("bucket", "key", "at")
         seen = self.files().where(F.col("part") < number).select("id", "fingerprint")
-        near = coverage(old, paragraph_hashes(f, self.hot(), "id"), twice=False)
+        hot = self.hot()
+        near = coverage(old, paragraph_hashes(f, hot, "id").select("key", "at", self._bucket()), twice=False, on=("bucket", "key"))
+        # What kind a content is depends on the threshold.
+        masks = self.masks().where(F.col("part") < number).drop("part") if threshold == SIMILARITY_THRESHOLD else cut(hot_masks(seen, hot, threshold, "id"))
+        near = near.unionByName(carried(masks, cut(hot_masks(f, hot, threshold, "id")), threshold, twice=False)).distinct()
         same = seen.join(f.select(F.col("id").alias("b"), "fingerprint"), "fingerprint").select(F.col("id").alias("a"), "b")
         both = near.join(seen.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(f.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb")), "b")
         good = both.where(hamming.fingerprint_similarity(F.col("fa"), F.col("fb"), threshold) >= threshold).select("a", "b")

@@ -105,3 +105,14 @@ def test_silence_and_telling(spark, monkeypatch):
     rows += [(30, 0, long)] + [(31 + i, 1, [four_bits(x) for x in long[3 * i : 3 * i + 6]]) for i in range(6)]
     got = {tuple(r) for r in history.earlier_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows) and {(10, 11), (20, 21), (30, 31), (30, 36)} <= got
+
+
+def test_store_keeps_families_and_silence(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, i // 80, fp) for i, fp in enumerate(family(rng, 90, 60, (2, 9)))]
+    rows += [(200, 0, rows[0][2][:6]), (201, 1, [x ^ 7 for x in rows[0][2][:6]])]
+    df, store = spark.createDataFrame(rows, SCHEMA), history.HashStore(spark, str(tmp_path / "s"), buckets=4)
+    store.append(df.where("batch = 0"), 0)
+    assert store.hot()
+    got = [tuple(r) for r in store.match(df.where("batch = 1"), 1).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 800
