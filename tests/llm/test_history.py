@@ -116,3 +116,9 @@ def test_store_keeps_families_and_silence(spark, tmp_path):
     assert store.hot()
     got = [tuple(r) for r in store.match(df.where("batch = 1"), 1).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 800
+
+
+def test_hot_limit(spark):
+    """A frame in 90 of 20,000 contents still tells something; one in 150 does not."""
+    c = spark.range(20000).select(F.array(F.col("id"), F.when(F.col("id") < 90, -1).when(F.col("id") < 240, -2).otherwise(F.col("id"))).cast("array<int>").alias("fingerprint"))
+    assert history.hot_frames(c) == [-2]
