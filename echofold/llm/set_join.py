@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echofold.llm.frequency import combined
@@ -20,8 +20,8 @@ from echofold.operators.skew import hot_keys
 SHORT = 64
 #: Values with this share of the rows are long without being listed at all.
 HOT_SHARE = 1 / 1024
-#: Rows that a task holds while it gathers what it found by record.
-FLUSH = 1 << 20
+#: Rows, and partners in short lists, that a task holds while it gathers what it found by record.
+FLUSH, FLUSH_PARTNERS = 1 << 20, 1 << 24
 
 
 def merge_skip(lists: list[list[int]], t: int) -> list[tuple[int, int]]:
@@ -77,18 +77,18 @@ def _pieces(short: int):  # noqa: ANN202
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = partners = 0
         tail_v, tail_r = np.empty(0, np.int64), np.empty(0, np.int64)
         open_long: int | None = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
+            nonlocal held, rows, partners
             if rows:
                 v, r = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 is_long = np.concatenate([h[2] for h in held])
                 yield _gather(v, r, is_long)
-            held, rows = [], 0
+            held, rows, partners = [], 0, 0
 
         for b in batches:
             v, r = np.asarray(b.column(0)), np.asarray(b.column(1))
@@ -110,7 +110,8 @@ def _pieces(short: int):  # noqa: ANN202
             if last:
                 held.append((v[:last], r[:last], per_row[:last]))
                 rows += last
-            if rows >= FLUSH:
+                partners += int((size * (size - 1) // 2)[~long].sum())
+            if rows >= FLUSH or partners >= FLUSH_PARTNERS:
                 yield from flush()
         if len(tail_v):
             held.append((tail_v, tail_r, np.full(len(tail_v), open_long is not None)))
@@ -214,7 +215,7 @@ def _confirm(threshold: float):  # noqa: ANN202
 
 
 def _round(listed: DataFrame, hot: DataFrame | None, threshold: float, short: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, poor records) of rows (term, record); ``hot`` has those of the hot values.
+    """(pairs, poor records (record, n, long)) of rows (term, record); ``hot`` has those of the hot values.
 
     Pairs of two poor records without a common short value are still open.
     """
@@ -234,7 +235,41 @@ def _round(listed: DataFrame, hot: DataFrame | None, threshold: float, short: in
     both = a.join(sizes, "b")
     bound = (F.col("shared") + F.least(F.size("long_a"), F.size("long_b"))) * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
     pairs = both.where(bound).select("a", "b", "shared", "n_a", "n_b", "long_a", "long_b").mapInArrow(_confirm(threshold), "a bigint, b bigint, overlap bigint, union_ bigint")
-    return pairs, table.where("poor").select("record")
+    return pairs, table.where("poor").select("record", "n", "long")
+
+
+def _carried_by_long(poor: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, overlap, union_) of all records whose common long values alone suffice; ``poor`` (record, n, long) is written already.
+
+    Records of one size and the same long values are one class.  The values
+    of a class are ordered by the length of their lists among the classes,
+    and the T-1 longest are left out: of T common values one at least is in
+    the rest of both sets, as the order is the same for all.  Only what is
+    left is joined, and only sets of sizes that can reach the threshold; the
+    lists left out are searched when a candidate is confirmed.
+    """
+    sig = poor.withColumn("class", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.array_join(F.col("long").cast("array<string>"), ",")), 256))
+    member = cut(sig.select("class", "record").join(sig.groupBy("class").agg(F.min("record").alias("rep")), "class").select("record", "rep"))
+    reps = cut(poor.join(member.where(F.col("record") == F.col("rep")).select("record"), "record", "left_semi"))
+    own = reps.select("record", "n", F.explode("long").alias("term"))
+    length = own.groupBy("term").agg(F.count("*").alias("length"))
+    longest_first = Window.partitionBy("record").orderBy(F.col("length").desc(), F.col("term").desc())
+    least = F.greatest(F.lit(1), F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
+    probe = own.join(length, "term").where(F.col("length") > 1).withColumn("rank", F.row_number().over(longest_first))
+    probe = cut(probe.where(F.col("rank") >= least).select("term", "record", "n"))
+    x = probe.select("term", F.col("record").alias("a"), F.col("n").alias("n_a"))
+    y = probe.select("term", F.col("record").alias("b"), F.col("n").alias("n_b"))
+    fits = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    met = x.join(y, "term").where(fits).select("a", "b").distinct()
+    side = lambda c: reps.select(F.col("record").alias(c), F.col("n").alias(f"n_{c}"), F.col("long").alias(f"long_{c}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.lit(0).cast("bigint").alias("shared"), "n_a", "n_b", "long_a", "long_b")
+    good = both.mapInArrow(_confirm(threshold), "a bigint, b bigint, overlap bigint, union_ bigint")
+    # A class that reaches the threshold with itself is a pair of its own.
+    size = F.size("long").cast("bigint")
+    itself = reps.where(size * (1 + threshold) >= threshold * 2 * F.col("n") - 1e-9).select(F.col("record").alias("a"), F.col("record").alias("b"), size.alias("overlap"), (2 * F.col("n") - size).alias("union_"))
+    of = lambda c, to: member.select(F.col("rep").alias(c), F.col("record").alias(to))
+    all_ = good.unionByName(itself).join(of("a", "x"), "a").join(of("b", "y"), "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return all_.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", "union_")
 
 
 def similar_sets(rows: DataFrame, value: str, record: str, threshold: float = 0.5, short: int = SHORT) -> DataFrame:
@@ -245,10 +280,9 @@ def similar_sets(rows: DataFrame, value: str, record: str, threshold: float = 0.
     minus the number of the set's long values; candidates are then searched
     in the long lists.  Which values are long decides the cost, never the
     result: a pair that shares no short value consists of two records whose
-    long values alone could suffice ("poor"), and these few are joined again
-    among themselves, copies of the same set as one, with longer lists, until
-    none is left.  Nulls do not count; records without values match nothing;
-    repeated rows count once.
+    long values alone could suffice ("poor"), and these are joined by their
+    long values, which are known from the first pass.  Nulls do not count;
+    records without values match nothing; repeated rows count once.
     """
     valid = rows.select(F.col(value).cast("bigint").alias("term"), F.col(record).cast("bigint").alias("record")).dropna()
     keys = [k for k, _ in hot_keys(valid.select("term"), "term", HOT_SHARE)]
@@ -256,33 +290,8 @@ def similar_sets(rows: DataFrame, value: str, record: str, threshold: float = 0.
     is_hot = F.col("term").isin(keys)
     listed = combined(valid.where(~is_hot) if keys else valid, "term", "record").select("term", "record")
     pairs, poor = _round(listed, valid.where(is_hot) if keys else None, threshold, short)
-    rest = combined(valid, "term", "record").select("term", "record")
-    out = [pairs]
     if poor.isEmpty():
         return pairs
-    # Poor records only: their values, one record for each different set, and the copies of it.
-    # The lists grow until no list is long, so the last round leaves none.
-    own = rest.join(poor, "record", "left_semi").distinct()
-    sig = own.groupBy("record").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(s), F.col("term")).cast("decimal(38,0)")).alias(f"s{s}") for s in (1, 2)])
-    sig = cut(sig.withColumn("set_", F.sha2(F.concat_ws("|", "n", "s1", "s2"), 256)).select("record", "n", "set_"))
-    rep = sig.groupBy("set_").agg(F.min("record").alias("rep"))
-    member = cut(sig.join(rep, "set_").select("record", "rep", "n"))
-    left = cut(own.join(member.where(F.col("record") == F.col("rep")).select("record"), "record", "left_semi").select("term", "record"))
-    size = left.select("record").distinct().count()
-    found = []
-    for k in range(1, 64):
-        short_k = short * 8**k
-        more, still = _round(left, None, threshold, short_k)
-        found.append(more)
-        if short_k >= size or still.isEmpty():
-            break
-        left = cut(left.join(still, "record", "left_semi"))
-    of_reps = found[0]
-    for f in found[1:]:
-        of_reps = of_reps.unionByName(f)
-    of_reps = of_reps.distinct()
-    across = of_reps.join(member.select(F.col("rep").alias("a"), F.col("record").alias("x")), "a").join(member.select(F.col("rep").alias("b"), F.col("record").alias("y")), "b")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", "union_")
-    copies = member.alias("p").join(member.alias("q"), "rep").where(F.col("p.record") < F.col("q.record"))
-    copies = copies.select(F.col("p.record").alias("a"), F.col("q.record").alias("b"), F.col("p.n").alias("overlap"), F.col("p.n").alias("union_"))
-    return out[0].unionByName(across).unionByName(copies).distinct()
+    # A pair with a common short value too comes out of both; the larger overlap is the whole one.
+    both = pairs.unionByName(_carried_by_long(cut(poor), threshold))
+    return both.groupBy("a", "b").agg(F.max("overlap").alias("overlap"), F.min("union_").alias("union_"))

@@ -155,3 +155,25 @@ def test_similar_sets(spark, seed, threshold, short):
 def test_similar_sets_of_nothing(spark):
     assert set_join.similar_sets(spark.createDataFrame([(None, 1)], "t bigint, f bigint"), "t", "f").count() == 0
     assert set_join.similar_sets(spark.createDataFrame([(1, 1)], "t bigint, f bigint"), "t", "f").count() == 0
+
+
+def test_similar_sets_of_thousands_without_short_values(spark):
+    """All values are long and most sets are made of them alone, many as copies; a third of the records are one set."""
+    rng = random.Random(8)
+    base = [frozenset(rng.sample(range(90), rng.randrange(6, 30))) for _ in range(120)]
+    sets = {}
+    for i in range(2400):
+        s = set(base[0]) if i % 3 == 0 else set(rng.choice(base))
+        if i % 3 and rng.random() < 0.7:
+            s ^= set(rng.sample(range(90), 3))
+        sets[i] = s | ({1000 + i // 2} if i % 5 == 0 else set())
+    df = spark.createDataFrame([(t, i) for i, s in sets.items() for t in s], "t bigint, f bigint").repartition(4)
+    got = set_join.similar_sets(df, "t", "f", 0.6, 4).select("a", "b", "overlap").toPandas()
+    m = np.zeros((len(sets), 3000), np.float32)
+    for i, s in sets.items():
+        m[i, list(s)] = 1
+    common, n = m @ m.T, m.sum(1)
+    good = np.triu(common >= 0.6 * (n[:, None] + n[None] - common) - 1e-4, 1)
+    a, b = np.nonzero(good)
+    want = set(zip(a.tolist(), b.tolist(), common[a, b].astype(int).tolist()))
+    assert len(got) == len(want) and set(zip(got["a"], got["b"], got["overlap"])) == want
