@@ -1,334 +1,547 @@
 """New batches against everything accepted before, without going through the history's contents.
 
-The unit is a fingerprint, an array of 32-bit frames.  Two hashes of it are
-kept: one of the whole content, and many of its paragraphs, here frames: a
-frame's paragraph hash is a fixed selection of its bits, taken by each of
-KEYS selections, so that a frame with a few flipped bits still shares some.
-A batch meets the history only where hashes are equal.
+The unit is a fingerprint, an array of 32-bit frames.  Two kinds of hashes of
+it are kept in bucketed tables: one of the whole content, and some of its
+paragraphs.  A paragraph is a frame with its neighbours; as up to 15 percent
+of the bits of a copy differ, and more where both are partly silent, its hash
+is a selection of few bits of the frame, taken by several selections, beside
+which the rest of the frame and some bits of its neighbours are kept.  A batch
+meets the history bucket by bucket, and of the contents only candidates.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.functions import hamming
-from echofold.operators.shared import cut
+from echofold.operators.shared import cut, shared_dir
 from echofold.schema import MAX_OFFSET, SIMILARITY_THRESHOLD
 
-KEYS, KEY_BITS = 20, 20
 #: Frames in more than this share of the contents (and more than HOT_LEAST) say nothing, as silence does.
 #: At most frames-per-content / HOT_SHARE frames are that frequent.
 HOT_SHARE, HOT_LEAST = 1 / 200, 64
+#: A frame within so many bits of a frequent one counts as it does, unless frequent frames are so many that this would take in more than NEAR_SHARE of all.
+NEAR_BITS, NEAR_SHARE = 5, 1 / 64
+#: Bits of a paragraph's hash for up to 2^LEAST_CONTENTS contents; one more for each doubling, so that buckets keep their size.
+LEAST_BITS, LEAST_CONTENTS = 10, 17
+#: Share of the bits of telling frames that may differ, and the meetings in one alignment that two contents are then to have.
+FLIPPED, MEETINGS = 0.2, 6
 #: Contents with fewer telling frames than this, or with overlaps so short, are compared with all others in full.
 TELLING = 8
-#: Positions in a fingerprint; a content's number has the other bits of a BIGINT.
-POS_BITS = 20
-#: A frame within so many bits of a frequent one counts as it does where frequent frames may carry a match.
-NEAR_BITS = 5
-#: Bits in which the rest of two contents may agree and still be as good as unrelated: 0.5, and four standard deviations over 8 frames.
-CHANCE = 0.625
+#: Neighbours on each side that stand beside a hash, and how many bits of each.
+AROUND, BITS_EACH = 5, 4
+#: Share of the known bits of two paragraphs that may differ, and the share at which one paragraph alone makes a candidate.
+TOLERANCE, STRICT = 0.25, 0.18
+#: Groups of hashes in a store, at least; else four for each bucket, which evens them out.
+LEAST_GROUPS = 256
+#: Entries of a group that one task holds; larger ones are split.
+SPLIT = 1 << 22
+#: Entries that a task gathers before it hands them on.
+FLUSH = 1 << 20
+#: Standard deviations by which unrelated bits may agree better than by half.
+CHANCE_SD = 4.5
 #: Contents on each side of a block that is compared by its frequent frames.
 BLOCK = 4096
 
 
-def selections(keys: int = KEYS, bits: int = KEY_BITS) -> list[int]:
-    """The bit selections, the same on every machine and at every time."""
-    rng = random.Random(20)
-    return [sum(1 << i for i in rng.sample(range(32), bits)) for _ in range(keys)]
+def key_bits(n: int) -> int:
+    """Bits of a hash for ``n`` contents."""
+    return LEAST_BITS + max(0, math.ceil(math.log2(max(1, n))) - LEAST_CONTENTS)
 
 
-def contents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(contents (rep, fingerprint, first, last), members (rep, id, batch)) of rows (id, batch, fingerprint).
+def hashes_each(bits: int) -> int:
+    """Hashes of a content of the usual length: what MEETINGS takes if each meets with the chance that all its bits are equal."""
+    return math.ceil(MEETINGS / (1 - FLIPPED) ** bits)
 
-    Files of equal content are one content, named by its least id; first and
-    last are its batches.  Null and empty fingerprints and rows without id or
-    batch are left out.  The
-    fingerprint travels once per content; a hash of 256 bits stands for it.
-    """
-    f = files.where(F.size(F.coalesce("fingerprint", F.array().cast("array<int>"))) > 0).dropna(subset=["id", "batch"])
-    f = f.withColumn("hash", F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ",", "-"), 256))
-    c = f.groupBy("hash").agg(F.min("id").alias("rep"), F.min("batch").alias("first"), F.max("batch").alias("last"), F.min("fingerprint").alias("fingerprint"))
-    members = f.select("hash", "id", "batch").join(c.select("hash", "rep"), "hash").select("rep", "id", "batch")
-    return c.select("rep", "fingerprint", "first", "last"), members
 
+def selections(n: int, bits: int) -> list[list[int]]:
+    """``n`` selections of bits, the same on every machine and at every time."""
+    rng = random.Random(20)
+    return [sorted(rng.sample(range(32), bits)) for _ in range(n)]
 
-def hot_frames(c: DataFrame) -> list[int]:
-    """Frames of very many contents; a bounded list (see HOT_SHARE)."""
-    n = c.count()
-    frames = c.select(F.explode(F.array_distinct("fingerprint")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    return [r["x"] for r in frames.where(F.col("n") > max(HOT_LEAST, int(n * HOT_SHARE))).select("x").collect()]
 
+#: Bits of a neighbour at each distance that stand beside a hash.
+NEIGHBOURS = [(d, sorted(random.Random(40 + d).sample(range(32), BITS_EACH))) for d in range(-AROUND, AROUND + 1) if d]
 
-def paragraph_hashes(c: DataFrame, hot: list[int], number: str = "number") -> DataFrame:
-    """(key, at): KEYS hashes of every telling frame; ``at`` is the content's number and the frame's position in one BIGINT.
 
-    The widest table of the plan has two columns: 16 bytes of data per hash.
-    """
-    masks, skip = selections(), np.array(sorted(x & 0xFFFFFFFF for x in hot if x is not None), np.uint32)
+def hot_frames(c: DataFrame, n: int | None = None) -> list[int]:
+    """Frames of very many of the contents ``c``, of which there are ``n``; a bounded list (see HOT_SHARE)."""
+    n = c.count() if n is None else n
+    frames = c.select(F.explode(F.array_distinct("fingerprint")).alias("x")).dropna().groupBy("x").agg(F.count("*").alias("n"))
+    return [r["x"] for r in frames.where(F.col("n") > max(HOT_LEAST, int(n * HOT_SHARE))).select("x").collect()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            frames, start, n = hamming._ragged(b.column(1))
-            pos = np.arange(len(frames)) - np.repeat(start, n)
-            if len(pos) and pos.max() >= 1 << POS_BITS:
-                raise ValueError("a fingerprint is too long for its positions")
-            at = (np.repeat(np.asarray(b.column(0)), n) << POS_BITS) | pos
-            tell = ~np.isin(frames, skip)
-            frames, at = frames[tell].astype(np.int64), at[tell]
-            for k, m in enumerate(masks):
-                yield pa.RecordBatch.from_arrays([pa.array((frames & m) | (k << 32)), pa.array(at)], names=["key", "at"])
 
-    return c.select(F.col(number).cast("bigint").alias("number"), "fingerprint").mapInArrow(run, "key bigint, at bigint")
+def near_hot(frames: np.ndarray, hot: list[int]) -> np.ndarray:
+    """Which frames are frequent or nearly so."""
+    to = np.array(sorted(x & 0xFFFFFFFF for x in hot if x is not None), np.uint32)
+    ball = lambda r: sum(math.comb(32, i) for i in range(r + 1)) / 2**32
+    r = max((r for r in range(NEAR_BITS + 1) if len(to) * ball(r) <= NEAR_SHARE), default=0)
+    distinct, at = np.unique(frames, return_inverse=True)
+    near = np.isin(distinct, to)
+    if r:
+        for x in to:
+            near |= np.bitwise_count(distinct ^ x) <= r
+    return near[at]
 
 
-def coverage(old: DataFrame, new: DataFrame, twice: bool, on: tuple[str, ...] = ("key",)) -> DataFrame:
-    """(a, b): numbers of contents of ``old`` and ``new`` that share paragraphs of two frames or more in one alignment.
+def _bits(x: np.ndarray, which: list[int]) -> np.ndarray:
+    """The given bits of each number, as a smaller number."""
+    out = np.zeros(len(x), np.uint64)
+    for to, b in enumerate(which):
+        out |= ((x >> np.uint32(b)) & np.uint32(1)).astype(np.uint64) << np.uint64(to)
+    return out
 
-    Both are paragraph_hashes().  ``twice`` says that the new contents are
-    among the old ones too, with numbers above those of all others: then two
-    new ones meet once.  ``on`` may name the bucket besides the key.
-    """
-    met = old.join(new.select(*on, F.col("at").alias("to")), list(on))
-    if twice:
-        met = met.where(F.shiftright("at", POS_BITS) < F.shiftright("to", POS_BITS))
-    p, q = (F.col(x).bitwiseAND(F.lit((1 << POS_BITS) - 1)) for x in ("at", "to"))
-    met = met.where(F.abs(p - q) <= MAX_OFFSET).select(F.shiftright("at", POS_BITS).alias("a"), F.shiftright("to", POS_BITS).alias("b"), (p - q).cast("int").alias("shift"), q.cast("int").alias("q"))
-    at = met.groupBy("a", "b", "shift").agg(F.min("q").alias("q0"), F.max("q").alias("q1"))
-    return at.where(F.col("q0") < F.col("q1")).select("a", "b").distinct()
 
+def paragraphs(frames: np.ndarray, start: np.ndarray, n: np.ndarray, numbers: np.ndarray, hot: list[int], bits: int) -> tuple[np.ndarray, ...]:
+    """(key, number, position, word, known) of the paragraphs of some contents.
 
-def hot_part(threshold: float) -> float:
-    """The share of frequent frames from which an overlap may reach the threshold though its other frames agree no better than CHANCE."""
-    return max(0.0, 1 - (1 - threshold) / (1 - CHANCE))
+    ``word`` has the bits of the frame that the key lacks, then those of the
+    neighbours; ``known`` has a bit for each neighbour that is there and
+    telling.  Contents of fewer telling frames have more hashes of each, up to
+    those of TELLING frames.
+    """
+    owner = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(frames)) - start[owner]
+    telling = ~near_hot(frames, hot)
+    count = np.bincount(owner[telling], minlength=len(n))
+    wanted = hashes_each(bits)
+    each = -(-wanted // np.maximum(count, TELLING))
+    around, known = np.zeros(len(frames), np.uint64), np.zeros(len(frames), np.int32)
+    for j, (d, which) in enumerate(NEIGHBOURS):
+        some = np.flatnonzero((pos + d >= 0) & (pos + d < n[owner]))
+        some = some[telling[some + d]]
+        around[some] |= _bits(frames[some + d], which) << np.uint64(j * BITS_EACH)
+        known[some] |= 1 << j
+    out = []
+    for k, which in enumerate(selections(int(each.max(initial=0)), bits)):
+        i = np.flatnonzero(telling & (each[owner] > k))
+        key = _bits(frames[i], which).astype(np.int64) | (k << bits)
+        rest = [b for b in range(32) if b not in which]
+        word = _bits(frames[i], rest) | (around[i] << np.uint64(len(rest)))
+        out.append((key, numbers[owner[i]], pos[i].astype(np.int32), word.view(np.int64), known[i]))
+    if not out:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int64, np.int32))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _spread_bits(word: np.ndarray, known: np.ndarray, rest: int) -> np.ndarray:
+    """A row of +1 and -1 for each paragraph, 0 where a neighbour is not known."""
+    w = np.unpackbits(word.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : rest + len(NEIGHBOURS) * BITS_EACH]
+    m = w.astype(np.float32) * 2 - 1
+    m[:, rest:] *= np.repeat((known[:, None] >> np.arange(len(NEIGHBOURS))) & 1, BITS_EACH, axis=1)
+    return m
+
+
+def meetings(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], bits: int, once: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(a, b, shift, least and greatest position in b, strict) of alignments in which paragraphs of equal key are alike.
+
+    Both sides are paragraphs(); ``once`` marks left ones whose contents are
+    on the right too: of these each pair is met once.
+    """
+    rest = 32 - bits
+    left, right = (tuple(x[np.argsort(side[0], kind="stable")] for x in (*side, *extra)) for side, extra in ((left, () if once is None else (once,)), (right, ())))
+    keys, begin = np.unique(right[0], return_index=True)
+    end = np.r_[begin[1:], len(right[0])]
+    l0, l1 = np.searchsorted(left[0], keys, "left"), np.searchsorted(left[0], keys, "right")
+    found: list[tuple[np.ndarray, ...]] = []
+    for r0, r1, a0, a1 in zip(begin, end, l0, l1):
+        if a0 == a1:
+            continue
+        for rs in range(r0, r1, 1 << 11):
+            re_ = min(r1, rs + (1 << 11))
+            mr = _spread_bits(right[3][rs:re_], right[4][rs:re_], rest)
+            all_ = np.abs(mr).sum(1)
+            least, strict = all_ * (1 - 2 * TOLERANCE), all_ * (1 - 2 * STRICT)
+            for ls in range(a0, a1, 1 << 9):
+                le = min(a1, ls + (1 << 9))
+                dot = _spread_bits(left[3][ls:le], left[4][ls:le], rest) @ mr.T
+                i, j = np.nonzero(dot >= least)
+                if not len(i):
+                    continue
+                score, x, y = dot[i, j] >= strict[j], i + ls, j + rs
+                a, b, shift = left[1][x], right[1][y], left[2][x] - right[2][y]
+                ok = (np.abs(shift) <= MAX_OFFSET) & (a != b)
+                if once is not None:
+                    ok &= ~left[5][x] | (a < b)
+                found.append((a[ok], b[ok], shift[ok], right[2][y][ok], score[ok]))
+    if not found:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32, bool))
+    a, b, shift, q, s = (np.concatenate(x) for x in zip(*found))
+    o = np.lexsort((q, shift, b, a))
+    a, b, shift, q, s = (x[o] for x in (a, b, shift, q, s))
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (shift[1:] != shift[:-1])]) if len(a) else np.zeros(0, int)
+    if not len(first):
+        return a, b, shift.astype(np.int32), q, q, s
+    last = np.r_[first[1:], len(a)] - 1
+    return a[first], b[first], shift[first].astype(np.int32), q[first], q[last], np.logical_or.reduceat(s, first)
+
+
+def least_hot(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many frequent frames an overlap of n must have in common for it to reach the threshold though its other frames are unrelated.
+
+    Unrelated bits agree by half, and over 32 r of them by CHANCE_SD standard
+    deviations more at most; frequent frames are taken to agree in full.
+    """
+    c = CHANCE_SD / (2 * np.sqrt(32 * np.maximum(n, 1)))
+    rest = (c + np.sqrt(c * c + 2 * (1 - threshold))) ** 2
+    return np.maximum(1.0, n * (1 - rest) - 1e-6)
 
 
-def hot_masks(c: DataFrame, hot: list[int], threshold: float, number: str = "number") -> DataFrame:
-    """(number, fingerprint, mask, kind) of ``c``, and its column new if it has one; ``mask`` has a bit for each frame that is frequent or nearly so.
+def hot_masks(c: DataFrame, hot: list[int], threshold: float) -> DataFrame:
+    """(number, n, mask, kind) of ``c``; ``mask`` has a bit for each frame that is frequent or nearly so.
 
-    Kind 1: the frequent frames of some overlap may carry a match, be the
-    other content as long or longer (overlaps are then this one's frames but
-    MAX_OFFSET at one end).  Kind 2: too few telling frames for hashes, in
-    all or in a short overlap.  Kind 0: any other with frequent frames.  -1: none.
+    An overlap always holds the end of one of its contents.  Kind 1: frequent
+    frames may carry a match in an overlap that ends with this content.  Kind
+    2: too few telling frames for hashes, in all or in a short overlap.
     """
-    near_to, part = np.array(sorted(x & 0xFFFFFFFF for x in hot if x is not None), np.uint32), hot_part(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            frames, start, n = hamming._ragged(b.column("fingerprint"))
-            distinct, at = np.unique(frames, return_inverse=True)
-            near = np.zeros(len(distinct), bool)
-            for x in near_to:
-                near |= np.bitwise_count(distinct ^ x) <= NEAR_BITS
-            is_hot = near[at]
-            upto = np.concatenate([[0], np.cumsum(is_hot)])
-            kind = np.where(upto[start + n] > upto[start], 0, -1)
+            frames, start, n = hamming._ragged(b.column(1))
+            is_hot = near_hot(frames, hot)
+            upto = np.r_[0, np.cumsum(is_hot)]
+            kind = np.zeros(len(n), np.int32)
             for left_out in range(MAX_OFFSET + 1):
                 m = np.maximum(n - left_out, 0)
-                most = np.maximum(upto[start + m] - upto[start], upto[start + n] - upto[start + n - m])
-                kind[(m > 0) & (most >= part * m) & (most > 0)] = 1
-            upto = np.concatenate([[0], np.cumsum(~np.isin(frames, near_to))])
-            kind[(n > 0) & ((upto[start + n] - upto[start] < TELLING) | (n < MAX_OFFSET + TELLING))] = 2
+                kind[(m > 0) & (upto[start + n] - upto[start + n - m] >= least_hot(m, threshold))] = 1
+            telling = n - (upto[start + n] - upto[start])
+            kind[(n > 0) & ((telling < TELLING) | (n < MAX_OFFSET + TELLING))] = 2
             masks = [np.packbits(is_hot[s : s + k]).tobytes() for s, k in zip(start, n)]
-            added = [pa.array(masks, pa.binary()), pa.array(kind, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "mask", "kind"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), pa.array(masks, pa.binary()), pa.array(kind)], names=["number", "n", "mask", "kind"])
+
+    return c.select("number", "fingerprint").mapInArrow(run, "number bigint, n int, mask binary, kind int")
+
 
-    kept = c.select(F.col(number).cast("bigint").alias("number"), "fingerprint", *[x for x in c.columns if x == "new"])
-    return kept.mapInArrow(run, ", ".join(f"{x} {t}" for x, t in kept.dtypes) + ", mask binary, kind int")
+def _tiles(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` rows ordered by length, fewer if they are long."""
+    lo = 0
+    while lo < len(n):
+        hi = min(lo + most, len(n))
+        hi = max(lo + 1, min(hi, lo + (1 << 24) // max(1, int(n[lo:hi].max()))))
+        yield lo, hi
+        lo = hi
 
 
-def _carried(left: pa.Table, right: pa.Table, threshold: float, twice: bool) -> tuple[list, list]:
-    """Numbers of the pairs of two tables of hot_masks() that reach the threshold at a shift where frequent frames may carry it."""
-    part, found_a, found_b = hot_part(threshold), [], []
+def _silent(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
+    """(a, b, shift) of the alignments in which frequent frames may carry a match."""
 
     def side(t: pa.Table) -> tuple:
-        frames, start, n = hamming._ragged(t.column("fingerprint"))
-        kind, number = np.asarray(t.column("kind")), np.asarray(t.column("number"))
-        order = np.lexsort((n, kind < 1))
-        return frames, start[order], n[order], kind[order], number[order], t.column("mask").take(pa.array(order)).to_pylist()
-
-    def tiles(x: tuple, most: int) -> Iterator[tuple]:
-        lo, tight = 0, int((x[3] >= 1).sum())
-        while lo < len(x[2]):
-            hi = min(lo + most, tight if lo < tight else len(x[2]))
-            hi = max(lo + 1, min(hi, lo + (1 << 24) // max(1, int(x[2][lo:hi].max()))))
-            wide = np.zeros((hi - lo, int(x[2][lo:hi].max())), np.float32)
-            for row, m, k in zip(wide, x[5][lo:hi], x[2][lo:hi]):
-                row[:k] = np.unpackbits(np.frombuffer(m, np.uint8), count=int(k))
-            yield wide, (x[0], x[1][lo:hi], x[2][lo:hi]), x[3][lo:hi], x[4][lo:hi]
-            lo = hi
-
-    a_side, b_side = side(left), side(right)
-    b_tiles = list(tiles(b_side, 256))
-    for wa, a, kind_a, num_a in tiles(a_side, 1024):
-        for wb, b, kind_b, num_b in b_tiles:
-            if kind_a[0] < 1 and kind_b[0] < 1:
-                continue
-            left_ = num_a[:, None] < num_b if twice else np.ones((len(num_a), len(num_b)), bool)
-            good = np.zeros_like(left_)
-            na, nb = a[2].astype(np.float32), b[2].astype(np.float32)
+        n = np.asarray(t.column("n")).astype(np.int64)
+        o = np.argsort(n, kind="stable")
+        return np.asarray(t.column("number"))[o], n[o], t.column("mask").take(pa.array(o)).to_pylist()
+
+    def wide(masks: list[bytes], n: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(n), int(n.max())), np.float32)
+        for row, m, k in zip(out, masks, n):
+            row[:k] = np.unpackbits(np.frombuffer(m, np.uint8), count=int(k))
+        return out
+
+    (num_a, n_a, mask_a), (num_b, n_b, mask_b), found = side(left), side(right), []
+    for a0, a1 in _tiles(n_a, 1024):
+        wa = wide(mask_a[a0:a1], n_a[a0:a1])
+        for b0, b1 in _tiles(n_b, 512):
+            wb = wide(mask_b[b0:b1], n_b[b0:b1])
+            need = least_hot(np.arange(max(wa.shape[1], wb.shape[1]) + 1), threshold).astype(np.float32)
             for k in range(-MAX_OFFSET, MAX_OFFSET + 1):
                 ka, kb = max(k, 0), max(-k, 0)
                 w = min(wa.shape[1] - ka, wb.shape[1] - kb)
                 if w <= 0:
                     continue
-                n = np.minimum((na - ka)[:, None], nb - kb)
-                ok = wa[:, ka : ka + w] @ wb[:, kb : kb + w].T >= part * n - 1e-3
-                ok[kind_a == 2] = True
-                ok[:, kind_b == 2] = True
-                ok &= n > 0
-                ok &= left_
-                i, j = np.nonzero(ok)
-                step = max(1, (1 << 21) // w)
-                for lo in range(0, len(i), step):
-                    x, y = i[lo : lo + step], j[lo : lo + step]
-                    p, q = (a[0], a[1][x], a[2][x]), (b[0], b[1][y], b[2][y])
-                    s = hamming._at(p, q, np.arange(len(x)), ka) if k >= 0 else hamming._at(q, p, np.arange(len(x)), kb)
-                    good[x[s >= threshold], y[s >= threshold]] = True
-                left_ &= ~good
-            i, j = np.nonzero(good)
-            found_a += num_a[i].tolist()
-            found_b += num_b[j].tolist()
-    return found_a, found_b
-
-
-def carried(old: DataFrame, new: DataFrame, threshold: float, twice: bool) -> DataFrame:
-    """(a, b) of all contents that are near enough at a shift where their frequent frames may carry the match, or one of which is of kind 2; exact.
-
-    Both are hot_masks(); ``twice`` as for coverage().  Pairs of which
-    neither is of kind 1 or 2 are left out.  Blocks of BLOCK contents a side are
-    compared by their masks, and contents only at shifts that the masks allow.
-    """
-    count = lambda x: x.agg(F.count("*").alias("n"), F.count_if(F.col("kind") >= 1).alias("tight"), F.count_if(F.col("kind") == 2).alias("full")).first()
-    a, b = count(old), count(new)
-    if not a["full"] + b["full"]:
-        old, new = (x.where(F.col("kind") >= 0) for x in (old, new))
-    if not a["n"] or not b["n"] or not a["tight"] + b["tight"]:
-        return old.sparkSession.createDataFrame([], "a bigint, b bigint")
-    ga, gb = -(-a["n"] // BLOCK), -(-b["n"] // BLOCK)
-    block = lambda g: F.pmod(F.xxhash64("number"), F.lit(g)).cast("int")
-    every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
-    columns = ["number", "fingerprint", "mask", "kind"]
-    left = old.select(*columns, block(ga).alias("i"), every(gb).alias("j")).groupBy("i", "j")
-    right = new.select(*columns, every(ga).alias("i"), block(gb).alias("j")).groupBy("i", "j")
-
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        found = _carried(x, y, threshold, twice) if len(x) and len(y) else ([], [])
-        return pa.table([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+                n = np.minimum((n_a[a0:a1] - ka)[:, None], n_b[b0:b1] - kb)
+                i, j = np.nonzero(wa[:, ka : ka + w] @ wb[:, kb : kb + w].T >= need[np.maximum(n, 0)])
+                ok = (n[i, j] > 0) & (num_a[a0 + i] != num_b[b0 + j])
+                found.append((num_a[a0 + i[ok]], num_b[b0 + j[ok]], np.full(int(ok.sum()), k, np.int32)))
+    cols = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]
+    return pa.table([pa.array(x) for x in cols], names=["a", "b", "shift"])
 
-    return left.cogroup(right).applyInArrow(compare, "a bigint, b bigint")
 
+def _all_shifts(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
+    """(a, b) of all pairs of two tables (number, fingerprint) that reach the threshold at some shift."""
 
-def numbered(c: DataFrame) -> DataFrame:
-    """``c`` written once, with new (is it in a batch?) and dense numbers, all new contents after all others."""
-    c = cut(c.withColumn("new", F.col("last") >= 1).withColumn("row", F.monotonically_increasing_id()))
-    part = F.shiftright("row", 33).cast("int")
-    sizes = {(r["new"], r["part"]): (r["n"], r["low"]) for r in c.groupBy("new", part.alias("part")).agg(F.count("*").alias("n"), F.min("row").alias("low")).collect()}  # two rows a partition
-    spread_, first = {}, {False: 0, True: sum(n for (new, _), (n, _) in sizes.items() if not new)}
-    for (new, p), (n, _) in sorted(sizes.items()):
-        spread_[new, p] = first[new]
-        first[new] += n
-    # Within a partition the two kinds are mixed: old ones keep their order, and new ones theirs, by a running count.
-    w = Window.partitionBy("new", "part").orderBy("row")
-    offsets = F.create_map(*[x for (new, p), o in spread_.items() for x in (F.lit(f"{new}-{p}".lower()), F.lit(o).cast("bigint"))]) if spread_ else F.create_map(F.lit(""), F.lit(0).cast("bigint"))
-    key = F.concat_ws("-", F.col("new").cast("string"), F.col("part").cast("string"))
-    out = c.withColumn("part", part).withColumn("number", F.row_number().over(w) - 1 + F.element_at(offsets, key))
-    return cut(out.select("rep", "fingerprint", "first", "last", "new", F.col("number").cast("bigint").alias("number")))
-
+    def side(t: pa.Table) -> tuple:
+        frames, start, n = hamming._ragged(t.column("fingerprint"))
+        o = np.argsort(n, kind="stable")
+        return np.asarray(t.column("number"))[o], n[o], start[o], frames
+
+    def wide(frames: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(n), 32 * int(n.max(initial=0))), np.float32)
+        for row, s, k in zip(out, start, n):
+            row[: 32 * k] = np.unpackbits(frames[s : s + k].view(np.uint8)) * np.float32(2) - 1
+        return out
+
+    (num_a, n_a, s_a, f_a), (num_b, n_b, s_b, f_b), found = side(left), side(right), []
+    for a0, a1 in _tiles(32 * n_a, 512):
+        wa = wide(f_a, s_a[a0:a1], n_a[a0:a1])
+        for b0, b1 in _tiles(32 * n_b, 512):
+            wb, good = wide(f_b, s_b[b0:b1], n_b[b0:b1]), np.zeros((a1 - a0, b1 - b0), bool)
+            for k in range(-MAX_OFFSET, MAX_OFFSET + 1):
+                ka, kb = max(k, 0), max(-k, 0)
+                w = min(wa.shape[1] - 32 * ka, wb.shape[1] - 32 * kb)
+                if w <= 0:
+                    continue
+                n = 32.0 * np.minimum((n_a[a0:a1] - ka)[:, None], n_b[b0:b1] - kb)
+                dot = wa[:, 32 * ka : 32 * ka + w] @ wb[:, 32 * kb : 32 * kb + w].T
+                good |= (n > 0) & (1.0 - (n - dot) / 2 / np.maximum(n, 1) >= threshold)
+            i, j = np.nonzero(good & (num_a[a0:a1, None] != num_b[b0:b1]))
+            found.append((num_a[a0 + i], num_b[b0 + j]))
+    cols = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
+    return pa.table([pa.array(x) for x in cols], names=["a", "b"])
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, compare, schema: str) -> DataFrame:  # noqa: ANN001
+    """``compare`` of all blocks of both sides; BLOCK rows a side."""
+    n_l, n_r = left.count(), right.count()
+    if not n_l or not n_r:
+        return left.sparkSession.createDataFrame([], schema)
+    g_l, g_r = -(-n_l // BLOCK), -(-n_r // BLOCK)
+    block = lambda g: F.pmod(F.xxhash64("number"), F.lit(g)).cast("int")
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    x = left.select("*", block(g_l).alias("i"), every(g_r).alias("j")).groupBy("i", "j")
+    names = right.columns  # the sides may be of one table
+    y = right.select(*[F.col(c).alias(f"{c}_") for c in names], every(g_l).alias("i"), block(g_r).alias("j"))
+    return x.cogroup(y.groupBy("i", "j")).applyInArrow(lambda a, b: compare(a, b.select([f"{c}_" for c in names]).rename_columns(names)), schema)
 
-def confirmed(pairs: DataFrame, c: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
-    """(a, b) as rep: the pairs of contents that are near enough at some shift; contents are fetched only for candidates."""
-    left, right = (c.select(F.col("number").alias(x), F.col("rep").alias(f"r{x}"), F.col("fingerprint").alias(f"f{x}"), F.col("first").alias(f"first_{x}"), F.col("last").alias(f"last_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").where(F.least("first_a", "first_b") < F.greatest("last_a", "last_b"))
-    return both.where(hamming.fingerprint_similarity(F.col("fa"), F.col("fb"), threshold) >= threshold).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
+def _at_shift(threshold: float):  # noqa: ANN202
+    """Candidates (a, b, shift, fa, fb) -> those that reach the threshold at that shift."""
 
-def earlier_copies(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: files of different batches with the same or nearly the same content.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, shift = hamming._ragged(batch.column("fa")), hamming._ragged(batch.column("fb")), np.asarray(batch.column("shift"))
+            good = np.zeros(len(shift), bool)
+            for k in np.unique(shift):
+                rows = np.flatnonzero(shift == k)
+                good[rows] = (hamming._at(a, b, rows, int(k)) if k >= 0 else hamming._at(b, a, rows, int(-k))) >= threshold
+            mask = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    ``files`` (id, batch, fingerprint): batch 0 is the history.  All batches
-    are matched in one plan, each against what came before it; the history's
-    hashes are joined to those of the batches and never to each other.
-    Copies are compared once and listed at the end.
-    """
-    c, members = contents(files)
-    c = numbered(c)
-    hot = hot_frames(c)
-    masks = cut(hot_masks(c, hot, threshold))
-    near = coverage(paragraph_hashes(c, hot), paragraph_hashes(c.where("new"), hot), twice=True)
-    near = near.unionByName(carried(masks, masks.where("new"), threshold, twice=True)).distinct()
-    near = confirmed(near, c, threshold)
-    same = c.where(F.col("first") < F.col("last")).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    all_ = near.unionByName(same)
-    x = members.select(F.col("rep").alias("a"), F.col("id").alias("x"), F.col("batch").alias("bx"))
-    y = members.select(F.col("rep").alias("b"), F.col("id").alias("y"), F.col("batch").alias("by"))
-    out = all_.join(x, "a").join(y, "b").where(F.col("bx") != F.col("by"))
-    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    return run
 
 
 class HashStore:
-    """The history between batches: contents, members and paragraph hashes as appended tables, the hashes by bucket.
-
-    ``root`` is a folder that driver and executors share.  match() reads the
-    hash buckets and, of the contents, only candidates; append() adds a
-    batch.  Hot frames are fixed by the first append.  A batch is identified
-    by its number: appending it again after a failure replaces its folders.
-    Contents whose frequent frames may carry a match, or that have too few
-    others, are compared exactly, as earlier_copies() does, from masks that
-    are kept as well.
+    """What has been accepted, as bucketed tables to which each batch appends its hashes.
+
+    | Table | One row for | Bucketed by |
+    | --- | --- | --- |
+    | hashes | a content: hash of the whole, number | hash |
+    | paragraphs | some paragraphs of one group, as arrays | group |
+    | contents | a content: number, fingerprint, its first and last batch | number |
+    | masks | a content: where it is silent | - |
+    | members | a file: number of its content, id, batch | number |
+
+    ``root`` is a folder that driver and executors share; opened again, it
+    holds what was appended before.  A part is one or more batches appended
+    together; appending a part again, as after a failure, replaces it.
+    match() reads the hashes of the history and joins them to those of the
+    new part within buckets, without moving them, and reads the contents of
+    candidates only.
+
+    Frequent frames and the length of hashes are fixed by the first part that
+    is not empty.  They decide the cost, not the result: a frame that becomes
+    frequent later is hashed and compared like any other.  ``capacity`` is
+    the number of contents to plan for, if it will be much larger than that
+    part; ``buckets`` the number of files of a part, by default that of
+    shuffle partitions.  Both are kept with the store.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if self._has(name) else self.spark.createDataFrame([], schema)
+    TABLES = {
+        "hashes": ("hash string, number bigint, first int, last int", "hash"),
+        "paragraphs": ("bucket int, key array<int>, number array<bigint>, pos array<int>, word array<bigint>, known array<smallint>", "bucket"),
+        "contents": ("number bigint, fingerprint array<int>", "number"),
+        "masks": ("number bigint, n int, mask binary, kind int", None),
+        "members": ("number bigint, id bigint, batch int", "number"),
+    }
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, capacity: int = 0, threshold: float = SIMILARITY_THRESHOLD) -> None:
+        self.spark, self.root, self.capacity, self.threshold = spark, root.rstrip("/"), capacity, threshold
+        if not self._has("layout"):
+            n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.range(1).select(F.lit(n).alias("buckets"), F.lit(max(LEAST_GROUPS, 4 * n)).alias("groups")).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/layout")
+        buckets, self.groups = self.spark.read.schema("buckets int, groups int").parquet(f"{self.root}/layout").first()
+        self.buckets = buckets
+        self.prefix = f"echofold_{hashlib.blake2b(self.root.encode(), digest_size=8).hexdigest()}"
+        for name, (columns, by) in self.TABLES.items():
+            clustered = f"CLUSTERED BY ({by}) INTO {buckets} BUCKETS" if by else ""
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.prefix}_{name} ({columns}, part int) USING parquet PARTITIONED BY (part) {clustered} LOCATION '{self.root}/{name}'")
+            if self._has(name):
+                spark.sql(f"ALTER TABLE {self.prefix}_{name} RECOVER PARTITIONS")
 
     def _has(self, name: str) -> bool:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-    def files(self) -> DataFrame:
-        return self._read("files", "id bigint, batch int, fingerprint array<int>, part int")
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.prefix}_{name}")
 
-    def hashes(self) -> DataFrame:
-        return self._read("hashes", "key bigint, at bigint, part int, bucket int")
+    def _insert(self, name: str, rows: DataFrame, part: int) -> None:
+        columns, by = self.TABLES[name]
+        view = f"{self.prefix}_new"
+        (rows.repartition(self.buckets, by) if by else rows).createOrReplaceTempView(view)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self.prefix}_{name} PARTITION (part = {part}) SELECT {', '.join(c.split()[0] for c in columns.split(', '))} FROM {view}")
+        self.spark.catalog.dropTempView(view)
 
-    def masks(self) -> DataFrame:
-        return self._read("masks", "number bigint, fingerprint array<int>, mask binary, kind int, part int")
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket")
+    def close(self) -> None:
+        """Forget the tables; the files stay."""
+        for name in self.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
 
     def hot(self) -> list[int]:
-        return [r["x"] for r in self._read("hot", "x int").collect()]
-
-    def append(self, batch: DataFrame, number: int) -> None:
-        """Add (id, fingerprint) as batch ``number``."""
-        f = batch.select("id", F.lit(number).cast("int").alias("batch"), "fingerprint").where(F.size("fingerprint") > 0)
-        if not self._has("hot"):
-            self.spark.createDataFrame([(x,) for x in hot_frames(contents(f)[0])], "x int").coalesce(1).write.parquet(f"{self.root}/hot")
-        f.drop("part").write.mode("overwrite").parquet(f"{self.root}/files/part={number}")
-        h = paragraph_hashes(f, self.hot(), "id").select("key", "at", self._bucket())
-        hot_masks(f, self.hot(), SIMILARITY_THRESHOLD, "id").write.mode("overwrite").parquet(f"{self.root}/masks/part={number}")
-        h.repartition("bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/hashes/part={number}")
-
-    def match(self, batch: DataFrame, number: int, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
-        """(id_a, id_b): files of the new batch and earlier ones of the same or nearly the same content."""
-        f = batch.select("id", "fingerprint").where(F.size("fingerprint") > 0)
-        old = self.hashes().where(F.col("part") < number).select("bucket", "key", "at")
-        seen = self.files().where(F.col("part") < number).select("id", "fingerprint")
-        hot = self.hot()
-        near = coverage(old, paragraph_hashes(f, hot, "id").select("key", "at", self._bucket()), twice=False, on=("bucket", "key"))
-        # What kind a content is depends on the threshold.
-        masks = self.masks().where(F.col("part") < number).drop("part") if threshold == SIMILARITY_THRESHOLD else cut(hot_masks(seen, hot, threshold, "id"))
-        near = near.unionByName(carried(masks, cut(hot_masks(f, hot, threshold, "id")), threshold, twice=False)).distinct()
-        same = seen.join(f.select(F.col("id").alias("b"), "fingerprint"), "fingerprint").select(F.col("id").alias("a"), "b")
-        both = near.join(seen.select(F.col("id").alias("a"), F.col("fingerprint").alias("fa")), "a").join(f.select(F.col("id").alias("b"), F.col("fingerprint").alias("fb")), "b")
-        good = both.where(hamming.fingerprint_similarity(F.col("fa"), F.col("fb"), threshold) >= threshold).select("a", "b")
-        return good.unionByName(same).distinct().select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+        return self.settings()[1]
+
+    def settings(self) -> tuple[int, list[int]]:
+        """(bits of a hash, frequent frames)."""
+        if not self._has("settings"):
+            return key_bits(self.capacity), []
+        r = self.spark.read.schema("bits int, hot array<int>").parquet(f"{self.root}/settings").first()
+        return r["bits"], list(r["hot"])
+
+    def append(self, files: DataFrame, part: int) -> None:
+        """Add rows (id, batch, fingerprint) as part number ``part``, which is also the batch if they name none.
+
+        Files of equal content are one content, named by its least id.  Null
+        and empty fingerprints and rows without id or batch are left out.
+        """
+        some = F.size(F.coalesce("fingerprint", F.array().cast("array<int>"))) > 0
+        files = files if "batch" in files.columns else files.withColumn("batch", F.lit(part))
+        f = files.where(some).select(F.col("id").cast("bigint").alias("id"), F.col("batch").cast("int").alias("batch"), "fingerprint").dropna(subset=["id", "batch"])
+        f = cut(f.withColumn("hash", F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ",", "-"), 256)))
+        # The fingerprints travel once, to the bucket of their number.
+        self._insert("hashes", f.groupBy("hash").agg(F.min("id").alias("number"), F.min("batch").alias("first"), F.max("batch").alias("last")), part)
+        h = self.table("hashes").where(F.col("part") == part)
+        self._insert("contents", f.select(F.col("id").alias("number"), "fingerprint").join(h.select("number").hint("merge"), "number", "left_semi").dropDuplicates(["number"]), part)
+        self._insert("members", f.select("hash", "id", "batch").join(h.select("hash", "number").hint("merge"), "hash").select("number", "id", "batch").distinct(), part)
+        c = self.table("contents").where(F.col("part") == part)
+        if not self._has("settings") and (n := h.count()):
+            row = [(key_bits(max(n, self.capacity)), hot_frames(c, n))]
+            self.spark.createDataFrame(row, "bits int, hot array<int>").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/settings")
+        bits, hot = self.settings()
+        self._insert("masks", hot_masks(c, hot, self.threshold), part)
+        self._insert("paragraphs", _packed(c, hot, bits, self.groups), part)
+
+    def match(self, part: int) -> DataFrame:
+        """(id_a, id_b), id_a < id_b: files of the part ``part`` and those of lower batches, here or in earlier parts, of the same or nearly the same content."""
+        upto = lambda name: self.table(name).where(F.col("part") <= part)
+        new = lambda name: self.table(name).where(F.col("part") == part)
+        ends = lambda c, to: c.select("hash", F.col("number").alias(to))
+        # No join may turn into a broadcast: the sizes that the planner knows are those of compressed files.
+        # Full copies: whole hashes, within buckets.
+        copies = ends(self.table("hashes").where(F.col("part") < part), "a").join(ends(new("hashes"), "b").hint("merge"), "hash").select("a", "b")
+        copies = copies.unionByName(new("hashes").where(F.col("first") < F.col("last")).select(F.col("number").alias("a"), F.col("number").alias("b")))
+        # Shared paragraphs, within buckets; two in one alignment, or one that is very much alike, make a candidate.
+        bits, _ = self.settings()
+        met = _met(upto("paragraphs").withColumn("fresh", F.col("part") == part), new("paragraphs"), bits)
+        met = met.groupBy("a", "b", "shift").agg(F.min("q0").alias("q0"), F.max("q1").alias("q1"), F.max("strict").alias("strict"))
+        candidates = met.where((F.col("q0") < F.col("q1")) | F.col("strict")).select("a", "b", "shift")
+        # What silence may carry, and what has too little else.
+        near, full = self._carried(upto, new)
+        candidates = cut(candidates.unionByName(near).distinct())
+        contents = upto("contents").select("number", "fingerprint")
+        side = lambda c: contents.withColumnsRenamed({"number": c, "fingerprint": f"f{c}"})
+        good = candidates.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").mapInArrow(_at_shift(self.threshold), "a bigint, b bigint")
+        pairs = copies.unionByName(good).unionByName(full).distinct()
+        x = upto("members").select(F.col("number").alias("a"), F.col("id").alias("x"), F.col("batch").alias("bx"))
+        y = new("members").select(F.col("number").alias("b"), F.col("id").alias("y"), F.col("batch").alias("by"))
+        out = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(F.col("bx") != F.col("by"))
+        return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+    def _carried(self, upto, new) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
+        """((a, b, shift) that frequent frames may carry, (a, b) of contents that are compared with all others), exact."""
+        old, fresh = upto("masks").drop("part"), new("masks").drop("part")
+        silent = lambda x, y: _in_blocks(x, y, lambda a, b, t=self.threshold: _silent(a, b, t), "a bigint, b bigint, shift int")
+        tight = F.col("kind") == 1
+        near = silent(old.where(tight), fresh).unionByName(silent(old.where(~tight), fresh.where(tight)))
+        few = F.col("kind") == 2
+        if upto("masks").where(few).isEmpty():
+            return near, self.spark.createDataFrame([], "a bigint, b bigint")
+        whole = lambda m, c: c.select("number", "fingerprint").join(m.select("number").hint("merge"), "number", "left_semi")
+        compare = lambda x, y: _in_blocks(x, y, lambda a, b, t=self.threshold: _all_shifts(a, b, t), "a bigint, b bigint")
+        full = compare(whole(old.where(few), upto("contents")), new("contents").select("number", "fingerprint"))
+        full = full.unionByName(compare(whole(upto("masks").where(~few), upto("contents")), whole(fresh.where(few), new("contents"))))
+        return near, full
+
+
+def _packed(c: DataFrame, hot: list[int], bits: int, groups: int) -> DataFrame:
+    """The paragraphs of contents (number, fingerprint), packed by group: a row holds those that one task made of one group."""
+
+    def pack(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, number, pos, word, known = (np.concatenate(x) for x in zip(*parts))
+        group = ((key * 0x9E3779B1 & 0xFFFFFFFF) >> 7) % groups
+        o = np.lexsort((key, group))
+        at = np.searchsorted(group[o], np.arange(groups + 1))
+        some = np.flatnonzero(np.diff(at))
+        offsets = pa.array(np.r_[at[some], at[-1]].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[o].astype(t))) for x, t in ((key, np.int32), (number, np.int64), (pos, np.int32), (word, np.int64), (known, np.int16))]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *lists], names=["bucket", "key", "number", "pos", "word", "known"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            frames, start, n = hamming._ragged(b.column(1))
+            numbers, lo = np.asarray(b.column(0)), 0
+            # A piece of the batch at a time, so that long contents don't fill the memory.
+            ends = np.cumsum(n)
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLUSH // 4, "right")))
+                a, z = start[lo], ends[hi - 1]
+                held.append(paragraphs(frames[a:z], start[lo:hi] - a, n[lo:hi], numbers[lo:hi], hot, bits))
+                rows, lo = rows + len(held[-1][0]), hi
+                if rows >= FLUSH:
+                    yield pack(held)
+                    held, rows = [], 0
+        if held:
+            yield pack(held)
+
+    return c.select("number", "fingerprint").mapInArrow(run, "bucket int, key array<int>, number array<bigint>, pos array<int>, word array<bigint>, known array<smallint>")
+
+
+def _met(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
+    """(a, b, shift, q0, q1, strict) of the meetings of packed paragraphs, group by group; ``left`` has fresh, which marks those of ``right``.
+
+    Groups are met where they lie.  Of groups of more than SPLIT entries, as
+    a large family of near copies makes, the rows are spread over several
+    tasks on both sides.
+    """
+
+    def flat(t: pa.Table) -> tuple[np.ndarray, ...]:
+        return tuple(np.asarray(t.column(c).combine_chunks().flatten()) for c in ("key", "number", "pos", "word", "known"))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        fresh = np.repeat(np.asarray(x.column("fresh")), np.asarray(x.column("key").combine_chunks().value_lengths())) if len(x) else np.zeros(0, bool)
+        got = meetings(flat(x), flat(y), bits, fresh) if len(x) and len(y) else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32, bool))
+        return pa.table([pa.array(c) for c in got], names=["a", "b", "shift", "q0", "q1", "strict"])
+
+    schema = "a bigint, b bigint, shift int, q0 int, q1 int, strict boolean"
+    sized = left.groupBy("bucket").agg(F.sum(F.size("key")).alias("n"), F.sum(F.when(F.col("fresh"), F.size("key"))).alias("m")).where(F.col("n") > SPLIT).collect()  # as many rows as groups at most
+    big = F.col("bucket").isin([r["bucket"] for r in sized])
+    columns = ["bucket", "key", "number", "pos", "word", "known"]
+    one = left.select(*columns, "fresh"), right.select(*columns)
+    if not sized:
+        return one[0].groupBy("bucket").cogroup(one[1].groupBy("bucket")).applyInArrow(compare, schema)
+    met = one[0].where(~big).groupBy("bucket").cogroup(one[1].where(~big).groupBy("bucket")).applyInArrow(compare, schema)
+    g_l, g_r = (-(-max(r[c] or 1 for r in sized) // SPLIT) for c in ("n", "m"))
+    part = lambda g: F.pmod(F.xxhash64("number", "pos"), F.lit(g)).cast("int")
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
+    x = one[0].where(big).select("*", part(g_l).alias("i"), every(g_r).alias("j")).groupBy("bucket", "i", "j")
+    y = one[1].where(big).select("*", every(g_l).alias("i"), part(g_r).alias("j")).groupBy("bucket", "i", "j")
+    return met.unionByName(x.cogroup(y).applyInArrow(compare, schema))
+
+
+def earlier_copies(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: files of different batches with the same or nearly the same content, by a store of their own.
+
+    ``files`` (id, batch, fingerprint): batch 0 is the history.
+    """
+    spark = files.sparkSession
+    store = HashStore(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", threshold=threshold)
+    store.append(files.where(F.col("batch") == 0), 0)
+    store.append(files.where(F.col("batch") > 0), 1)
+    return store.match(1)

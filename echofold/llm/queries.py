@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.llm import frequency, hash_to_min, history, leak, names, pii, set_join, survivors, tokens
+from echofold.operators.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +52,12 @@ def p6_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.earlier_copies(p6_files(spark, d))
+    """The cached files are the history, which is appended first; then the batches are appended and matched by their hashes."""
+    files = p6_files(spark, d)
+    store = history.HashStore(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+    store.append(files.where(F.col("batch") == 0), 0)
+    store.append(files.where(F.col("batch") > 0), 1)
+    return store.match(1)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -49,10 +49,12 @@ def test_store_agrees(spark, tmp_path):
     store, got = history.HashStore(spark, str(tmp_path / "s"), buckets=4), set()
     for n in range(4):
         batch = df.where(F.col("batch") == n)
-        if n:
-            got |= {tuple(r) for r in store.match(batch, n).collect()}
         store.append(batch, n)
         store.append(batch, n)  # again, as after a failure
+        if n:
+            got |= {tuple(r) for r in store.match(n).collect()}
+        store.close()
+        store = history.HashStore(spark, str(tmp_path / "s"), buckets=7)  # opened again, as it was made
     assert got == {tuple(r) for r in history.earlier_copies(df).collect()}
 
 
@@ -114,7 +116,8 @@ def test_store_keeps_families_and_silence(spark, tmp_path):
     df, store = spark.createDataFrame(rows, SCHEMA), history.HashStore(spark, str(tmp_path / "s"), buckets=4)
     store.append(df.where("batch = 0"), 0)
     assert store.hot()
-    got = [tuple(r) for r in store.match(df.where("batch = 1"), 1).collect()]
+    store.append(df.where("batch = 1"), 1)
+    got = [tuple(r) for r in store.match(1).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 800
 
 
@@ -122,3 +125,41 @@ def test_hot_limit(spark):
     """A frame in 90 of 20,000 contents still tells something; one in 150 does not."""
     c = spark.range(20000).select(F.array(F.col("id"), F.when(F.col("id") < 90, -1).when(F.col("id") < 240, -2).otherwise(F.col("id"))).cast("array<int>").alias("fingerprint"))
     assert history.hot_frames(c) == [-2]
+
+
+def test_split_groups(spark, monkeypatch):
+    """Groups that are too large for one task give the same pairs."""
+    rows = made(3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {tuple(r) for r in history.earlier_copies(df).collect()}
+    monkeypatch.setattr(history, "SPLIT", 8)
+    monkeypatch.setattr(history, "FLUSH", 64)
+    got = [tuple(r) for r in history.earlier_copies(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_tables_lie_in_buckets(spark, tmp_path):
+    """Whole hashes, contents and members are joined, and paragraphs met, where they lie."""
+    df, store = spark.createDataFrame([r for r in made(4) if r[0] is not None], SCHEMA), history.HashStore(spark, str(tmp_path / "s"), buckets=4)
+    store.append(df.where("batch = 0"), 0)
+    store.append(df.where("batch > 0"), 1)
+    new = store.table("paragraphs").where("part = 1")
+    plan = history._met(store.table("paragraphs").withColumn("fresh", F.lit(False)), new, 10)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]
+    h = store.table("hashes")
+    plan = h.where("part = 0").join(h.where("part = 1").hint("merge"), "hash")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_recall_by_bits(spark):
+    """Of pairs whose bits are flipped at random, in contents of any length, at least 97 percent come out up to the threshold."""
+    rng, rows, want = random.Random(11), [], 0
+    for i in range(150):
+        fp = [rng.randrange(2**32) for _ in range(rng.choice([30, 40, 70, 150]))]
+        k, p = rng.randrange(-9, 10), rng.choice([0.05, 0.1, 0.13])
+        other = [x ^ sum((rng.random() < p) << b for b in range(32)) for x in fp]
+        other = other[k:] if k > 0 else [rng.randrange(2**32) for _ in range(-k)] + other
+        rows += [(i, 0, [x - 2**31 for x in fp]), (1000 + i, 1, [x - 2**31 for x in other])]
+    want = brute(rows)
+    got = {tuple(r) for r in history.earlier_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got <= want and len(want) > 140 and len(got) >= 0.97 * len(want)
