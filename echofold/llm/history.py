@@ -50,7 +50,7 @@ FLUSH = 1 << 20
 #: Standard deviations by which unrelated bits may agree better than by half.
 CHANCE_SD = 4.5
 #: Contents on each side of a block that is compared by its frequent frames.
-BLOCK = 4096
+BLOCK = 2048
 
 
 def key_bits(n: int) -> int:
@@ -74,23 +74,46 @@ NEIGHBOURS = [(d, sorted(random.Random(40 + d).sample(range(32), BITS_EACH))) fo
 
 
 def hot_frames(c: DataFrame, n: int | None = None) -> list[int]:
-    """Frames of very many of the contents ``c``, of which there are ``n``; a bounded list (see HOT_SHARE)."""
+    """Frames of very many of the contents ``c``, of which there are ``n``, most frequent first; a bounded list (see HOT_SHARE)."""
     n = c.count() if n is None else n
     frames = c.select(F.explode(F.array_distinct("fingerprint")).alias("x")).dropna().groupBy("x").agg(F.count("*").alias("n"))
-    return [r["x"] for r in frames.where(F.col("n") > max(HOT_LEAST, int(n * HOT_SHARE))).select("x").collect()]
+    many = frames.where(F.col("n") > max(HOT_LEAST, int(n * HOT_SHARE))).collect()
+    return [r["x"] for r in sorted(many, key=lambda r: (-r["n"], r["x"]))]
 
 
-def near_hot(frames: np.ndarray, hot: list[int]) -> np.ndarray:
-    """Which frames are frequent or nearly so."""
-    to = np.array(sorted(x & 0xFFFFFFFF for x in hot if x is not None), np.uint32)
+def _near_bits(hot: list[int]) -> int:
+    """Bits by which a frame may differ from a frequent one and still count as it does."""
     ball = lambda r: sum(math.comb(32, i) for i in range(r + 1)) / 2**32
-    r = max((r for r in range(NEAR_BITS + 1) if len(to) * ball(r) <= NEAR_SHARE), default=0)
+    return max((r for r in range(NEAR_BITS + 1) if len(hot) * ball(r) <= NEAR_SHARE), default=0)
+
+
+def silence(frames: np.ndarray, hot: list[int]) -> np.ndarray:
+    """A byte for each frame: 0 if it is telling, else the number of the frequent frame that it is, from 1, or 127 if that is none of the first; 128 more if it is only nearly so."""
+    r = _near_bits(hot)
     distinct, at = np.unique(frames, return_inverse=True)
-    near = np.isin(distinct, to)
-    if r:
-        for x in to:
-            near |= np.bitwise_count(distinct ^ x) <= r
-    return near[at]
+    best, which = np.full(len(distinct), 33, np.uint8), np.zeros(len(distinct), np.uint8)
+    for k, x in enumerate(hot):
+        d = np.bitwise_count(distinct ^ np.uint32(x & 0xFFFFFFFF))
+        nearer = (d <= r) & (d < best)
+        best[nearer], which[nearer] = d[nearer], min(k + 1, 127)
+    which[(which > 0) & (best > 0)] += 128
+    return which[at]
+
+
+def agreements(hot: list[int]) -> np.ndarray:
+    """The share of bits in which frames of two values of silence() may agree at most; 0 if one is telling."""
+    value = np.array([x & 0xFFFFFFFF for x in hot[:126]] or [0], np.uint32)
+    out = np.zeros((256, 256), np.float32)
+    kinds = [c for c in range(1, 256) if c % 128]
+    for a in kinds:
+        for b in kinds:
+            x, y = a % 128 - 1, b % 128 - 1
+            if max(x, y) >= min(len(hot), 126):
+                out[a, b] = 1
+            else:
+                apart = int(np.bitwise_count(value[x] ^ value[y])) - _near_bits(hot) * (a // 128 + b // 128)
+                out[a, b] = 1 - max(0, apart) / 32
+    return out
 
 
 def _bits(x: np.ndarray, which: list[int]) -> np.ndarray:
@@ -111,7 +134,7 @@ def paragraphs(frames: np.ndarray, start: np.ndarray, n: np.ndarray, numbers: np
     """
     owner = np.repeat(np.arange(len(n)), n)
     pos = np.arange(len(frames)) - start[owner]
-    telling = ~near_hot(frames, hot)
+    telling = silence(frames, hot) == 0
     count = np.bincount(owner[telling], minlength=len(n))
     wanted = hashes_each(bits)
     each = -(-wanted // np.maximum(count, TELLING))
@@ -197,7 +220,7 @@ def least_hot(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def hot_masks(c: DataFrame, hot: list[int], threshold: float) -> DataFrame:
-    """(number, n, mask, kind) of ``c``; ``mask`` has a bit for each frame that is frequent or nearly so.
+    """(number, mask, kind) of ``c``; ``mask`` is silence() of its frames.
 
     An overlap always holds the end of one of its contents.  Kind 1: frequent
     frames may carry a match in an overlap that ends with this content.  Kind
@@ -207,7 +230,8 @@ def hot_masks(c: DataFrame, hot: list[int], threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             frames, start, n = hamming._ragged(b.column(1))
-            is_hot = near_hot(frames, hot)
+            quiet = silence(frames, hot)
+            is_hot = quiet > 0
             upto = np.r_[0, np.cumsum(is_hot)]
             kind = np.zeros(len(n), np.int32)
             for left_out in range(MAX_OFFSET + 1):
@@ -215,10 +239,10 @@ def hot_masks(c: DataFrame, hot: list[int], threshold: float) -> DataFrame:
                 kind[(m > 0) & (upto[start + n] - upto[start + n - m] >= least_hot(m, threshold))] = 1
             telling = n - (upto[start + n] - upto[start])
             kind[(n > 0) & ((telling < TELLING) | (n < MAX_OFFSET + TELLING))] = 2
-            masks = [np.packbits(is_hot[s : s + k]).tobytes() for s, k in zip(start, n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), pa.array(masks, pa.binary()), pa.array(kind)], names=["number", "n", "mask", "kind"])
+            masks = [quiet[s : s + k].tobytes() for s, k in zip(start, n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(masks, pa.binary()), pa.array(kind)], names=["number", "mask", "kind"])
 
-    return c.select("number", "fingerprint").mapInArrow(run, "number bigint, n int, mask binary, kind int")
+    return c.select("number", "fingerprint").mapInArrow(run, "number bigint, mask binary, kind int")
 
 
 def _tiles(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -231,25 +255,27 @@ def _tiles(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _silent(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
-    """(a, b, shift) of the alignments in which frequent frames may carry a match."""
+def _silent(left: pa.Table, right: pa.Table, threshold: float, agree: np.ndarray) -> pa.Table:
+    """(a, b, shift) of the alignments in which frequent frames may carry a match; ``agree`` as of agreements()."""
 
     def side(t: pa.Table) -> tuple:
-        n = np.asarray(t.column("n")).astype(np.int64)
+        masks = t.column("mask").to_pylist()
+        n = np.array([len(m) for m in masks], np.int64)
         o = np.argsort(n, kind="stable")
-        return np.asarray(t.column("number"))[o], n[o], t.column("mask").take(pa.array(o)).to_pylist()
+        flat = np.frombuffer(b"".join(masks[i] for i in o), np.uint8)
+        return np.asarray(t.column("number"))[o], n[o], np.cumsum(n[o]) - n[o], flat
 
-    def wide(masks: list[bytes], n: np.ndarray) -> np.ndarray:
+    def wide(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         out = np.zeros((len(n), int(n.max())), np.float32)
-        for row, m, k in zip(out, masks, n):
-            row[:k] = np.unpackbits(np.frombuffer(m, np.uint8), count=int(k))
+        for row, s, k in zip(out, start, n):
+            row[:k] = flat[s : s + k] > 0
         return out
 
-    (num_a, n_a, mask_a), (num_b, n_b, mask_b), found = side(left), side(right), []
+    (num_a, n_a, s_a, f_a), (num_b, n_b, s_b, f_b), found = side(left), side(right), []
     for a0, a1 in _tiles(n_a, 1024):
-        wa = wide(mask_a[a0:a1], n_a[a0:a1])
+        wa = wide(f_a, s_a[a0:a1], n_a[a0:a1])
         for b0, b1 in _tiles(n_b, 512):
-            wb = wide(mask_b[b0:b1], n_b[b0:b1])
+            wb = wide(f_b, s_b[b0:b1], n_b[b0:b1])
             need = least_hot(np.arange(max(wa.shape[1], wb.shape[1]) + 1), threshold).astype(np.float32)
             for k in range(-MAX_OFFSET, MAX_OFFSET + 1):
                 ka, kb = max(k, 0), max(-k, 0)
@@ -258,8 +284,18 @@ def _silent(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
                     continue
                 n = np.minimum((n_a[a0:a1] - ka)[:, None], n_b[b0:b1] - kb)
                 i, j = np.nonzero(wa[:, ka : ka + w] @ wb[:, kb : kb + w].T >= need[np.maximum(n, 0)])
-                ok = (n[i, j] > 0) & (num_a[a0 + i] != num_b[b0 + j])
-                found.append((num_a[a0 + i[ok]], num_b[b0 + j[ok]], np.full(int(ok.sum()), k, np.int32)))
+                i, j, n = i + a0, j + b0, n[i, j]
+                ok = (n > 0) & (num_a[i] != num_b[j])
+                i, j, n = i[ok], j[ok], n[ok]
+                if not len(i):
+                    continue
+                # They are not all the same frame: how far can these agree, and what would the rest have to be?
+                ends = np.cumsum(n)
+                within = np.arange(ends[-1]) - np.repeat(ends - n, n)
+                both = agree[f_a[np.repeat(s_a[i] + ka, n) + within], f_b[np.repeat(s_b[j] + kb, n) + within]]
+                rest = n - np.add.reduceat((both > 0).astype(np.int64), ends - n)
+                ok = np.add.reduceat(both.astype(np.float64), ends - n) + rest / 2 + CHANCE_SD / 2 * np.sqrt(rest / 32) >= threshold * n - 1e-6
+                found.append((num_a[i[ok]], num_b[j[ok]], np.full(int(ok.sum()), k, np.int32)))
     cols = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]
     return pa.table([pa.array(x) for x in cols], names=["a", "b", "shift"])
 
@@ -305,10 +341,12 @@ def _in_blocks(left: DataFrame, right: DataFrame, compare, schema: str) -> DataF
     g_l, g_r = -(-n_l // BLOCK), -(-n_r // BLOCK)
     block = lambda g: F.pmod(F.xxhash64("number"), F.lit(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
-    x = left.select("*", block(g_l).alias("i"), every(g_r).alias("j")).groupBy("i", "j")
+    x = left.select("*", block(g_l).alias("i"), every(g_r).alias("j"))
     names = right.columns  # the sides may be of one table
     y = right.select(*[F.col(c).alias(f"{c}_") for c in names], every(g_l).alias("i"), block(g_r).alias("j"))
-    return x.cogroup(y.groupBy("i", "j")).applyInArrow(lambda a, b: compare(a, b.select([f"{c}_" for c in names]).rename_columns(names)), schema)
+    # Few bytes, much to do: the partitions must not be put together by their sizes.
+    x, y = (t.repartition(min(2 * g_l * g_r, 4096), "i", "j").groupBy("i", "j") for t in (x, y))
+    return x.cogroup(y).applyInArrow(lambda a, b: compare(a, b.select([f"{c}_" for c in names]).rename_columns(names)), schema)
 
 
 def _at_shift(threshold: float):  # noqa: ANN202
@@ -357,7 +395,7 @@ class HashStore:
         "hashes": ("hash string, number bigint, first int, last int", "hash"),
         "paragraphs": ("bucket int, key array<int>, number array<bigint>, pos array<int>, word array<bigint>, known array<smallint>", "bucket"),
         "contents": ("number bigint, fingerprint array<int>", "number"),
-        "masks": ("number bigint, n int, mask binary, kind int", None),
+        "masks": ("number bigint, mask binary, kind int", None),
         "members": ("number bigint, id bigint, batch int", "number"),
     }
 
@@ -456,7 +494,7 @@ class HashStore:
     def _carried(self, upto, new) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
         """((a, b, shift) that frequent frames may carry, (a, b) of contents that are compared with all others), exact."""
         old, fresh = upto("masks").drop("part"), new("masks").drop("part")
-        silent = lambda x, y: _in_blocks(x, y, lambda a, b, t=self.threshold: _silent(a, b, t), "a bigint, b bigint, shift int")
+        silent = lambda x, y: _in_blocks(x, y, lambda a, b, t=self.threshold, g=agreements(self.hot()): _silent(a, b, t, g), "a bigint, b bigint, shift int")
         tight = F.col("kind") == 1
         near = silent(old.where(tight), fresh).unionByName(silent(old.where(~tight), fresh.where(tight)))
         few = F.col("kind") == 2
