@@ -28,8 +28,8 @@ PASS_LETTERS = 1_000_000
 _ASIDES = re.compile(rf"\([^()]{{0,{ASIDE}}}\)|\[[^\[\]]{{0,{ASIDE}}}\]|<[^<>]{{0,{ASIDE}}}>|—[^—\n]{{1,{ASIDE}}}[!?.:]\s*—")
 _LONG_ASIDES = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|<[^<>]*>|—[^—\n]+[!?.:]\s*—")
 _BROKEN = re.compile(r"(?<=\w)[-‐‑­][ \t]*\r?\n\s*(?=\w)|­")
-_WORD = re.compile(r"\w+(?:[-‐‑'’]\w+)*")
-_JOINER = re.compile(r"[-‐‑'’_]")
+_WORD = re.compile(r"\w+(?:(?:[-‐‑'’]|(?<=\d)[.,](?=\d))\w+)*")
+_JOINER = re.compile(r"[-‐‑'’_.,]")
 
 
 def _split(t: str) -> list[str]:
@@ -41,7 +41,7 @@ def _split(t: str) -> list[str]:
 
 
 def words(text: str | None) -> list[str]:
-    """Words in lower case, whole where a line end or a hyphen splits them, without asides; punctuation and layout are dropped."""
+    """Words in lower case, whole where a line end or a hyphen splits them, numbers whole with their separators, without asides; punctuation and layout are dropped."""
     return _split(_ASIDES.sub(" ", _ASIDES.sub(" ", text or "")))
 
 
