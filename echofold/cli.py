@@ -6,11 +6,10 @@ import argparse
 import importlib.util
 import os
 import sys
-import tempfile
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from echofold.operators.shared import clean, cut
 from echofold.plans.pipeline import find_duplicates
 from echofold.schema import MIN_SIZE_KB
 from echofold.sources import files as src
@@ -23,15 +22,25 @@ def session(workers: int | None) -> SparkSession:
     return (builder if "SPARK_MASTER" in os.environ else builder.master(f"local[{workers or '*'}]")).getOrCreate()
 
 
-def detect(spark: SparkSession, directory: str, store: SnapshotStore, reader: src.TagReader, backend: src.Backend, min_size: int = 0, force_refresh: bool = False):  # noqa: ANN201
-    """(number of files, result of the detection, rows of warnings); new fingerprints are stored."""
-    found = src.scan(spark, directory, reader, min_size)
-    files, new, warnings = src.ensure_fingerprints(found, store.read(), backend, force_refresh)
-    store.write(new)
-    # From the store: what was computed just now is read, not computed again.
-    cached = src.latest(store.read()).select("path", F.col("fingerprint"), F.col("duration").alias("known"))
-    items = found.join(cached, "path", "left").withColumn("duration", F.when(F.col("duration") == 0, F.coalesce("known", "duration")).otherwise(F.col("duration"))).drop("known", "mtime")
-    return found.count(), find_duplicates(items), warnings
+def detect(spark: SparkSession, directory: str, store: SnapshotStore, reader: src.TagReader, backend: src.Backend, min_size: int = 0, force_refresh: bool = False, say=lambda text: None):  # noqa: ANN001, ANN201
+    """(number of files, result of the detection, rows of warnings); new fingerprints are stored.
+
+    Every file is listed, read and fingerprinted once: what later steps
+    read are written tables.  ``say`` gets lines on the progress.
+    """
+    found = cut(src.scan(spark, directory, reader, min_size))
+    n = found.count()
+    say(f"Found {n} audio files  (cache: {store.root}, {len(store)} entries)")
+    split = src.progress(src.split_fresh(found, store.read(), force_refresh)).first()
+    say(f"  {split['cached']} already cached, {split['to_compute']} to fingerprint")
+    files, new, warnings = src.ensure_fingerprints(found, store.read(), backend, force_refresh, src.unreachable)
+    items, new, warnings = cut(files.drop("mtime")), cut(new), cut(warnings)
+    if not new.isEmpty():
+        store.write(new)
+    say(f"  {new.count()} computed")
+    result = find_duplicates(items, cache=store.read())
+    say(f"  Done: {result.edges.count()} matches")
+    return n, result, warnings
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -62,13 +71,16 @@ def run_detect(args: argparse.Namespace) -> int:
         return 1
     spark = session(args.workers)
     store = SnapshotStore(spark, args.cache or os.path.join(os.path.dirname(directory), ".echofold-store"))
-    n, result, warnings = detect(spark, directory, store, src.mutagen_reader, src.first_of([src.library_backend, src.fpcalc_backend]), args.min_size * 1024, args.force_refresh)
-    if args.json is False:
-        for w in warnings.toLocalIterator():
-            print(f"[!] {w['path'] or ''} {w['reason']}")
-        print(report.text_report(n, report.report_rows(result.groups, result.members), result.members))
-        return 0
-    text = report.pretty_json(report.json_rows(result.groups, result.members))
+    say = (lambda text: None) if args.json is True else (lambda text: print(text, flush=True))
+    say(f"Scanning {directory} ...")
+    try:
+        n, result, warnings = detect(spark, directory, store, src.mutagen_reader, src.first_of([src.library_backend, src.fpcalc_backend]), args.min_size * 1024, args.force_refresh, say)
+        if args.json is False:
+            print(report.text_report(n, report.report_rows(result.groups, result.members), result.members, warnings))
+            return 0
+        text = report.pretty_json(report.json_rows(result.groups, result.members))
+    finally:
+        clean(spark)
     if args.json is True:
         sys.stdout.buffer.write(text.encode() + b"\n")
     else:
@@ -78,27 +90,21 @@ def run_detect(args: argparse.Namespace) -> int:
 
 
 def run_apply(args: argparse.Namespace) -> int:
+    """Files are renamed and linked where the command runs, so the report is read here too; what to do with it is a plan like any other."""
     spark = session(None)
-    with tempfile.TemporaryDirectory() as own:
-        path = args.input
-        if path == "-":
-            path = os.path.join(own, "in.json")
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(sys.stdin.read())
-        try:
-            groups = report.read_json(spark, path).collect()  # a report that people read and act on
-        except Exception as e:
-            print(f"Error: invalid JSON input: {str(e).splitlines()[0]}", file=sys.stderr)
-            return 1
+    try:
+        groups = report.parse_json(sys.stdin.read() if args.input == "-" else open(args.input, encoding="utf-8").read())
+    except (OSError, ValueError) as e:
+        print(f"Error: invalid JSON input: {e}", file=sys.stderr)
+        return 1
     rows = spark.createDataFrame(groups, report.REPORT)
-    named = rows.select(F.explode(F.array_union(F.coalesce("files", F.array().cast("array<string>")), F.array("keep"))).alias("path")).dropna().distinct()
-    there = [(r["path"],) for r in named.toLocalIterator() if os.path.exists(r["path"])]
-    plan = report.apply_plan(rows, spark.createDataFrame(there, "path string"))
-    counts = {"done": 0, "skip": 0, "fail": 0}
+    there = {path for g in groups for path in (*(g["files"] or ()), g["keep"]) if path and os.path.exists(path)}
+    plan = report.apply_plan(rows, spark.createDataFrame([(path,) for path in sorted(there)], "path string"))
     if not args.apply:
         print("Dry run; --apply renames and links.")
-    for path, status, why in report.apply_on_driver(plan, args.backup_suffix, args.apply):
-        counts[status] += 1
-        print(f"{status.upper():5} {path} {why or ''}")
-    print(f"{counts['done']} {'were' if args.apply else 'would be'} replaced, {counts['skip']} skipped, {counts['fail']} failed")
-    return 1 if counts["fail"] else 0
+    done = report.apply_on_driver(plan, args.backup_suffix, args.apply)
+    for path, status, why in done:
+        print(f"[{status}] {path}" + (f": {why}" if why else ""))
+    counts = {r["status"]: r["n"] for r in report.apply_counts(spark.createDataFrame(done, "path string, status string, reason string")).collect()}
+    print(f"{counts.get('done', 0)} {'were' if args.apply else 'would be'} replaced, {counts.get('skip', 0)} skipped, {counts.get('fail', 0)} failed")
+    return 1 if counts.get("fail") else 0

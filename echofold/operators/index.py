@@ -45,8 +45,8 @@ def containment(shared: Column, n_a: Column, n_b: Column, min_abs: int = MIN_SHA
     return shared >= F.greatest(F.lit(min_abs), F.ceil(F.lit(float(min_fraction)) * F.least(n_a, n_b)))
 
 
-def shared_terms(post: DataFrame, key: str = "path", min_abs: int = MIN_SHARED_TERMS, cap: int = TERM_DF_CAP) -> DataFrame:
-    """(a, b, shared) for a < b with at least ``min_abs`` common terms of df <= cap.
+def shared_terms(post: DataFrame, key: str = "path", min_abs: int = MIN_SHARED_TERMS, cap: int = TERM_DF_CAP, df: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared) for a < b with at least ``min_abs`` common terms of df <= cap, counted in ``post`` or, with ``df`` (term, df), in a wider scope.
 
     A plain self-join emits df^2 rows per term.  Here each item first leaves
     out its min_abs-1 most frequent terms: two items with min_abs common
@@ -54,7 +54,7 @@ def shared_terms(post: DataFrame, key: str = "path", min_abs: int = MIN_SHARED_T
     and the join never sees the most frequent terms of ordinary items.  Pairs
     found are counted exactly over the whole capped sets afterwards.
     """
-    kept = df_capped(post, cap=cap, least=2).select(key, "term", "df")
+    kept = df_capped(post, df, cap, least=2).select(key, "term", "df")
     frequent_first = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc())
     ranked = kept.withColumn("rank", F.row_number().over(frequent_first))
     sets = kept.groupBy(key).agg(F.collect_list("term").alias("terms")).where(F.size("terms") >= min_abs)
@@ -66,10 +66,25 @@ def shared_terms(post: DataFrame, key: str = "path", min_abs: int = MIN_SHARED_T
     return both.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("bigint").alias("shared")).where(F.col("shared") >= min_abs)
 
 
-def candidate_pairs(post: DataFrame, key: str = "path", min_abs: int = MIN_SHARED_TERMS, min_fraction: float = MIN_SHARED_FRACTION, cap: int = TERM_DF_CAP) -> DataFrame:
+def candidate_pairs(post: DataFrame, key: str = "path", min_abs: int = MIN_SHARED_TERMS, min_fraction: float = MIN_SHARED_FRACTION, cap: int = TERM_DF_CAP, df: DataFrame | None = None) -> DataFrame:
     """(a, b, shared, terms_a, terms_b): shared counts capped terms only, the set sizes count all terms."""
     n = term_counts(post, key)
-    pairs = shared_terms(post, key, min_abs, cap)
+    pairs = shared_terms(post, key, min_abs, cap, df)
     pairs = pairs.join(n.select(F.col(key).alias("a"), F.col("term_count").alias("terms_a")), "a")
     pairs = pairs.join(n.select(F.col(key).alias("b"), F.col("term_count").alias("terms_b")), "b")
     return pairs.where(containment(F.col("shared"), F.col("terms_a"), F.col("terms_b"), min_abs, min_fraction)).select("a", "b", "shared", "terms_a", "terms_b")
+
+
+def find_candidates(queries: DataFrame, post: DataFrame, min_abs: int = MIN_SHARED_TERMS, cap: int = TERM_DF_CAP, df: DataFrame | None = None) -> DataFrame:
+    """(path, candidate, shared, term_count): for each file of ``queries`` (path, term) the files of ``post`` (path, term), behind it in order, with at least ``min_abs`` of its terms.
+
+    The lookup that a new file needs: only the lists of its terms are read
+    on, never the pairs of the others.  Terms of df > cap, in ``post`` or in
+    ``df``, don't count; term_count counts all terms of the candidate.
+    """
+    asked = queries.select("path", "term").dropna().distinct()
+    lists = post.select(F.col("path").alias("candidate"), "term").join(asked.select("term").distinct(), "term", "left_semi")
+    rare = (lists.groupBy("term").agg(F.count("*").alias("df")) if df is None else df).where(F.col("df") <= cap).select("term")
+    met = asked.join(rare, "term").join(lists, "term").where(F.col("candidate") > F.col("path"))
+    met = met.groupBy("path", "candidate").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_abs)
+    return met.join(term_counts(post).withColumnRenamed("path", "candidate"), "candidate").select("path", "candidate", "shared", "term_count")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,19 @@ FOLDER = "echofold-tables"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Our folder in the one that the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """Our folder in the one that the cluster names in spark.checkpoint.dir.
+
+    One of our own is made only where none is set and the session is local,
+    as in tests; on a cluster it would be another folder on each machine.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="echofold-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="echofold-")
+        sc.setCheckpointDir(folder)
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{FOLDER}"
 
 

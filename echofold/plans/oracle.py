@@ -52,7 +52,7 @@ label AS (SELECT "group", (CASE WHEN coalesce(tags.title, '') <> '' THEN '"' ||
   || (CASE WHEN coalesce(tags.artist, '') <> '' THEN ' – ' || tags.artist ELSE '' END) label, duration, scan_ord FROM ranked WHERE so = 1),
 rows_ AS (SELECT g."group", confidence, row_number() OVER (PARTITION BY confidence ORDER BY scan_ord)::INT number,
   (floor(duration)::BIGINT // 60)::VARCHAR || ':' || lpad((floor(duration)::BIGINT % 60)::VARCHAR, 2, '0') length,
-  CASE WHEN tag_score >= 0.5 THEN 'tags/filenames agree' ELSE 'fingerprint only' END note, keep, savings, label
+  CASE WHEN tag_score >= 0.5 THEN 'tags/filenames agree' ELSE 'fingerprint only — tags/filenames differ' END note, keep, savings, label
   FROM groups_ g JOIN kept k ON g."group" = k."group" JOIN label l ON g."group" = l."group")"""
 
 
@@ -99,6 +99,7 @@ def token_sorted(s: str) -> str:
     return rf"array_to_string(list_sort(list_filter(regexp_split_to_array({s}, '\s+'), lambda w: w <> '')), ' ')"
 
 
+SIZE_TEXT = "(CASE WHEN m.size >= 1048576 THEN printf('%.1f MB', m.size / 1048576.0::DOUBLE) ELSE printf('%.0f KB', m.size / 1024.0::DOUBLE) END)"
 RATIOS = f"""
 texts AS (SELECT a, b, {token_sorted(norm_stem('a'))} x, {token_sorted(norm_stem('b'))} y FROM paired
   UNION ALL SELECT a, b, {token_sorted('ka')}, {token_sorted('kb')} FROM (SELECT a, b, {tag_key('ta')} ka, {tag_key('tb')} kb FROM paired) WHERE ka IS NOT NULL AND kb IS NOT NULL),
@@ -142,6 +143,19 @@ def oracle_sql() -> dict[str, str]:
         "shared_terms": f"{with_} {POSTS}, {SHARED} SELECT a, b, shared FROM shared",
         "candidate_pairs": f"{with_} {CANDIDATES} SELECT a, b, shared, terms_a, terms_b FROM cand",
         "candidates_of_posting": f"{with_} posts AS (SELECT DISTINCT i.path, p.term FROM posting p JOIN indexed_file i ON p.file_id = i.id WHERE p.term IS NOT NULL), {SHARED} SELECT a, b, shared FROM shared JOIN indexed_file x ON x.path = a JOIN indexed_file y ON y.path = b WHERE shared >= greatest(20, ceil(0.1::DOUBLE * least(coalesce(x.term_count, 0), coalesce(y.term_count, 0))))",
+        "find_candidates": f"""{with_} posts AS (SELECT DISTINCT i.path, i.id, p.term FROM posting p JOIN indexed_file i ON p.file_id = i.id WHERE p.term IS NOT NULL),
+            n AS (SELECT path, count(*) term_count FROM posts GROUP BY 1), rare AS (SELECT term FROM posts GROUP BY 1 HAVING count(*) <= 2000)
+            SELECT q.path, c.path candidate, count(*) shared, any_value(term_count) term_count FROM posts q JOIN rare USING (term) JOIN posts c USING (term) JOIN n ON n.path = c.path
+            WHERE q.id % 50 = 0 AND c.path > q.path GROUP BY 1, 2 HAVING count(*) >= 20""",
+        "shared_terms_in_cache_scope": f"""{with_} {LATEST}, new AS (SELECT path, fingerprint fp FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, duration DESC NULLS LAST, fingerprint DESC NULLS LAST) rn FROM incoming_file WHERE path IS NOT NULL) WHERE rn = 1),
+            everything AS (SELECT * FROM new UNION ALL SELECT path, fingerprint FROM latest WHERE path NOT IN (SELECT path FROM new)),
+            posts AS {terms_of('new', 'fp')}, wide AS {terms_of('everything', 'fp')}, capped AS (SELECT p.* FROM posts p JOIN (SELECT term FROM wide GROUP BY 1 HAVING count(*) <= 60) USING (term))
+            SELECT x.path a, y.path b, count(*) shared FROM capped x JOIN capped y ON x.term = y.term AND x.path < y.path GROUP BY 1, 2 HAVING count(*) >= 20""",
+        "cache_force_refresh": "SELECT id, false hit, duration FROM incoming_file",
+        "report_files": f"""{rec} {ROWS} SELECT confidence, number, (row_number() OVER (PARTITION BY m."group" ORDER BY m.size DESC, m.scan_ord))::INT place, m.path, {SIZE_TEXT} size_text, m.path = r.keep kept
+            FROM members m JOIN rows_ r ON m."group" = r."group" """,
+        "json_encoded": f"""{rec} {MEMBERS}, fl AS (SELECT "group", list(path ORDER BY scan_ord) files FROM members GROUP BY 1)
+            SELECT keep, to_json({{'tier': 'fingerprint', 'confidence': confidence, 'files': files, 'keep': keep}})::VARCHAR json FROM groups_ g JOIN kept k ON g."group" = k."group" JOIN fl ON fl."group" = g."group" """,
         "hamming_at_offset": f"{with_} {PAIRED} SELECT a, b, round({at_offset('fa', 'fb', '0')}, 9) s0, round({at_offset('fa', 'fb', '5')}, 9) s5, round({at_offset('fb', 'fa', '5')}, 9) s_5 FROM paired",
         "fingerprint_similarity": f"{with_} {PAIRED}, {similarity('paired')} SELECT a, b, round(similarity, 9) similarity FROM scored",
         "normalize_title": f"SELECT scan_ord, {norm('tags.title')} norm FROM audio_file",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echofold.operators.cluster import components, duplicate_groups
-from echofold.operators.index import candidate_pairs, postings
+from echofold.operators.index import candidate_pairs, document_frequency, postings
 from echofold.operators.shared import cut
 from echofold.operators.verify import edges
 from echofold.schema import SIMILARITY_THRESHOLD, TERM_DF_CAP
@@ -43,9 +43,17 @@ class Result:
     members: DataFrame
 
 
-def find_duplicates(items: DataFrame, threshold: float = SIMILARITY_THRESHOLD, cap: int = TERM_DF_CAP) -> Result:
-    """Index, candidates, verification, components and groups of ``items`` (path unique, as of library())."""
-    found = cut(edges(candidate_pairs(postings(items), cap=cap), items, threshold))
+def find_duplicates(items: DataFrame, threshold: float = SIMILARITY_THRESHOLD, cap: int = TERM_DF_CAP, cache: DataFrame | None = None) -> Result:
+    """Index, candidates, verification, components and groups of ``items`` (path unique, as of library()).
+
+    Terms in more than ``cap`` files don't count: files of ``items`` or, if
+    it is given, of all that ``cache`` (path, fingerprint) holds besides.
+    """
+    df = None
+    if cache is not None:
+        rest = cache.select("path", "fingerprint").join(items.select("path"), "path", "left_anti")
+        df = cut(document_frequency(postings(items.select("path", "fingerprint").unionByName(rest))).where(F.col("df") > 1))
+    found = cut(edges(candidate_pairs(postings(items), cap=cap, df=df), items, threshold))
     comp = components(found)
     groups = duplicate_groups(found, comp)
     facts = items.select("path", "size", "duration", "bitrate", "tags", "scan_ord")

@@ -113,6 +113,44 @@ def candidates_of_posting(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(index.containment(F.col("shared"), F.col("terms_a"), F.col("terms_b"))).select("a", "b", "shared")
 
 
+def find_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The lookup of single files: those whose id is divisible by 50, against all files that the stored postings hold."""
+    files = table(spark, d, "indexed_file").select(F.col("id").alias("file_id"), "path")
+    post = table(spark, d, "posting").dropna().distinct().join(files, "file_id")
+    return index.find_candidates(post.where(F.col("file_id") % 50 == 0), post.select("path", "term"))
+
+
+def shared_terms_in_cache_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Shared terms of the new files, of terms that count as rare among all files that are cached or new."""
+    new = library_of(table(spark, d, "incoming_file"))
+    cached = src.latest(table(spark, d, "fingerprint_cache")).join(new.select("path"), "path", "left_anti")
+    df = index.document_frequency(index.postings(new.unionByName(cached.select("path", "fingerprint"))))
+    return index.shared_terms(index.postings(new), cap=60, df=df)
+
+
+def library_of(files: DataFrame) -> DataFrame:
+    """(path, fingerprint) of the latest row of each path."""
+    return src.latest(files.select("path", "mtime", "duration", "fingerprint")).select("path", "fingerprint")
+
+
+def cache_force_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The freshness split when everything is to be computed again: no row is a hit, no duration is filled."""
+    t = src.split_fresh(table(spark, d, "incoming_file").select("id", "mtime", "path", "duration"), table(spark, d, "fingerprint_cache"), force_refresh=True)
+    return t.select("id", "hit", "duration")
+
+
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """The file lines of the text report, in the order of its sections, groups and files."""
+    groups, members = _stored_members(spark, d)
+    return report.report_files(report.report_rows(groups, members), members)
+
+
+def json_encoded(spark: SparkSession, d: str) -> DataFrame:
+    """The report's groups as JSON objects, as they are written, non-ASCII letters as themselves."""
+    r = report.json_rows(*_stored_members(spark, d))
+    return r.select("keep", F.to_json(F.struct("tier", "confidence", "files", "keep")).alias("json"))
+
+
 def hamming_at_offset(spark: SparkSession, d: str) -> DataFrame:
     both = _paired(spark, d)
     at = {f"s{n}": F.round(bits.similarity_at_offset(F.col("fa"), F.col("fb"), F.lit(k)), 9) for n, k in (("0", 0), ("5", 5), ("_5", -5))}
@@ -241,6 +279,7 @@ NAMES = (
     term_postings, term_counts, document_frequency, df_capped_postings, shared_terms, candidate_pairs, candidates_of_posting,
     hamming_at_offset, fingerprint_similarity, normalize_title, normalize_artist, normalize_stem, identity_score, edges,
     components, duplicate_groups, keep_best, report_rows, report_summary, json_report, apply_plan, apply_counts,
+    find_candidates, shared_terms_in_cache_scope, cache_force_refresh, report_files, json_encoded,
     detected_edges, detected_groups, p5_found, p5_quantiles,
 )
 

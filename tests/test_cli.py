@@ -22,12 +22,20 @@ def test_detect(spark, tmp_path):
         return 3.0, list(range(40)) if path[-5] in "ab" else [x * 7919 for x in range(40)]
 
     store = SnapshotStore(spark, str(tmp_path / "store"))
-    reader = lambda path, content: (0, 128000, {"title": [path[-5]]})
-    for _ in range(2):
+    read = tmp_path / "read"
+
+    def reader(path, file):
+        with open(read, "a") as f:
+            f.write("x")
+        return 0, 128000, {"title": [path[-5]]}
+
+    for turn in range(2):
         n, result, warnings = cli.detect(spark, str(d), store, reader, backend)
         groups = result.groups.collect()
         assert n == 3 and len(groups) == 1 and groups[0]["n_files"] == 2 and warnings.count() == 0
         assert {os.path.basename(r["path"]): r["duration"] for r in result.members.collect()} == {"a.mp3": 3.0, "b.mp3": 3.0}
+        # Each file is read once a run, and fingerprinted once.
+        assert len(calls.read_text()) == 3 and len(read.read_text()) == 3 * (turn + 1)
 
 
 def test_apply(spark, tmp_path, capsys):
