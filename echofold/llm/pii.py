@@ -30,34 +30,76 @@ DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 EXTENSION = r"(?:,?\s(?:ext\.?|extension|x|Durchwahl|poste)\s?\d{1,5})?"
 AT, DOT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|AT|ät)\s?[\])}]\s?)", r"(?:\.|\s?[\[({]\s?(?:dot|DOT|punkt|point)\s?[\])}]\s?)"
 
-PATTERNS: list[tuple[str, re.Pattern[str]]] = [
-    ("email", re.compile(rf"(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*{AT}[\w-]+(?:{DOT}[\w-]+)+")),
-    ("address", re.compile(rf"(?<!\w)(?:Flat\s\d+[A-Za-z]?,\s)?\d{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
-    ("address", re.compile(rf"(?<!\w)(?:{CAP}\s){{1,2}}{BUILDING},\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
-    ("address", re.compile(rf"(?<!\w)P\.?\s?O\.?\sBox\s\d+,\s{TOWN}")),
-    ("address", re.compile(rf"(?<!\w)[{UP}][{LOW}]+{STREET_DE}\s\d+(?:\s?[a-z]\b)?,\s\d{{4,5}}\s{CAP}")),
-    ("address", re.compile(rf"(?<!\w)\d{{1,4}}(?:\s?(?:bis|ter|quater|[A-D]))?,?\s{STREET_FR}\s(?:d(?:e|u|es|e la)\s)?{CAP},\s\d{{5}}\s{CAP}")),
-    ("id_number", re.compile(r"(?<![\w/])[A-Z]{2}\d{2}(?:\s?\d{4}){3,7}(?:\s?\d{1,3})?(?![\w/])")),
-    ("id_number", re.compile(r"(?<![\w/])(?:[A-Z]{2}\s?(?:\d{6}|\d{2}\s\d{2}\s\d{2})\s?[A-Z]|[a-z]{2}\s?\d{6}\s?[a-z])(?![\w/])")),
-    ("id_number", re.compile(r"(?<![\w/])[A-Z]\d{8}(?![\w/])")),
-    ("id_number", re.compile(r"(?<![\w.])\d{1,2}\.\d{3}\.\d{3}-[\dKk](?![\w])")),
-    ("id_number", re.compile(r"(?<![\w.,+/-])(?<!\d\s)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[-+/\s]\d{4}(?![\w/]|[.,]\d)(?!\s\d)")),
-    ("phone", re.compile(rf"(?<![\w+])(?:\+|00)\d{{1,3}}(?:\s?\(0\))?(?:[\s./-]?\d{{2,7}}){{2,6}}\b{EXTENSION}")),
-    ("phone", re.compile(rf"(?<![\w.,/-])(?:\(0\d{{1,4}}\)\s?|0\d{{1,4}}[\s./-])\d{{3}}[\s./-]?\d{{4}}\b{EXTENSION}")),
-    ("phone", re.compile(rf"(?<![\w.,/-])0\d{{9,10}}\b{EXTENSION}")),
-    ("phone", re.compile(r"(?<![\w.,/-])(?<!\d\s)\d{3}[\s-]\d{4},?\s(?:ext\.?|extension|x)\s?\d{1,5}\b")),
-    ("phone", re.compile(rf"(?<!\w){DIGIT_WORD}(?:[\s,-]+{DIGIT_WORD}){{6,14}}(?!\w)", re.I)),
-    ("phone", re.compile(r"(?:(?<=Tel\.: )|(?<=telephone, )|(?<=number is )|(?<=number, it is )|(?<=reached on )|(?<=call from )|(?<=Please call )|(?<=ministry rang ))\d{3}[\s.-]?\d{4}\b")),
+STATE_ZIP = r"(?:,?\s[A-Z]{2}\s\d{5}(?:-\d{4})?)"
+
+# What a text must have for a pattern to be tried, each cheap to see.
+NEEDS = {
+    "at": lambda t: "@" in t or bool(_BRACKETED_AT.search(t)),
+    "digit": lambda t: bool(_DIGIT.search(t)),
+    "three digits": lambda t: bool(_THREE.search(t)),
+    "four digits": lambda t: bool(_FOUR.search(t)),
+    "box": lambda t: "Box" in t,
+    "building": lambda t: any(x in t for x in ("Cottage,", "House,", "Lodge,", "Farm,", "Hall,", "Villa,", "Manor,", "Mill,")),
+    "german street": lambda t: any(x in t for x in ("str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "pfad", "hof", "chaussee")) and bool(_FOUR.search(t)),
+    "french street": lambda t: bool(_FOUR.search(t)) and any(x in t for x in STREET_FR[3:-1].split("|")),
+    "digit word": lambda t: bool(_TWO_DIGIT_WORDS.search(t)),
+}
+_BRACKETED_AT = re.compile(r"[\[({]\s?(?:at|AT|ät)\s?[\])}]")
+_DIGIT, _THREE, _FOUR = re.compile(r"\d"), re.compile(r"\d{3}"), re.compile(r"\d{4}")
+_TWO_DIGIT_WORDS = re.compile(rf"\b{DIGIT_WORD}[\s,-]+{DIGIT_WORD}\b", re.I)
+
+PATTERNS: list[tuple[str, str, re.Pattern[str]]] = [
+    ("email", "at", re.compile(rf"(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*{AT}[\w-]+(?:{DOT}[\w-]+)+")),
+    ("address", "digit", re.compile(rf"(?<!\w)\d{{1,5}}\s(?:{CAP}\s){{1,3}}{STREET},\s(?:{CAP}\s?){{1,3}}{STATE_ZIP}")),
+    ("address", "digit", re.compile(rf"(?<!\w)(?:Flat\s\d+[A-Za-z]?,\s)?\d{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
+    ("address", "building", re.compile(rf"(?<!\w)(?:{CAP}\s){{1,2}}{BUILDING},\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
+    ("address", "box", re.compile(rf"(?<!\w)P\.?\s?O\.?\sBox\s\d+,\s{TOWN}")),
+    ("address", "german street", re.compile(rf"(?<!\w)[{UP}][{LOW}]+{STREET_DE}\s\d+(?:\s?[a-z]\b)?,\s\d{{4,5}}\s{CAP}")),
+    ("address", "french street", re.compile(rf"(?<!\w)\d{{1,4}}(?:\s?(?:bis|ter|quater|[A-D]))?,?\s{STREET_FR}\s(?:d(?:e|u|es|e la)\s)?{CAP},\s\d{{5}}\s{CAP}")),
+    ("id_number", "four digits", re.compile(r"(?<![\w/])[A-Z]{2}\d{2}(?:\s?\d{4}){3,7}(?:\s?\d{1,3})?(?![\w/])")),
+    ("id_number", "digit", re.compile(r"(?<![\w/])(?:[A-Z]{2}\s?(?:\d{6}|\d{2}\s\d{2}\s\d{2})\s?[A-Z]|[a-z]{2}\s?\d{6}\s?[a-z])(?![\w/])")),
+    ("id_number", "four digits", re.compile(r"(?<![\w/])[A-Z]\d{8}(?![\w/])")),
+    ("id_number", "three digits", re.compile(r"(?<![\w.])\d{1,2}\.\d{3}\.\d{3}-[\dKk](?![\w])")),
+    ("id_number", "three digits", re.compile(r"(?<![\w/-])\d{3}-\d{2}-\d{4}(?![\w/-])")),
+    ("id_number", "four digits", re.compile(r"(?<![\w.,+/-])(?<!\d\s)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[-+/\s]\d{4}(?![\w/]|[.,]\d)(?!\s\d)")),
+    ("card", "four digits", re.compile(r"(?<![\w/+.,-])(?<!\d\s)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w/-])(?!\s\d)")),
+    ("phone", "digit", re.compile(rf"(?<![\w+])(?:\+|00)\d{{1,3}}(?:\s?\(0\))?(?:[\s./-]?\d{{2,7}}){{2,6}}\b{EXTENSION}")),
+    ("phone", "four digits", re.compile(rf"(?<![\w.,/-])(?:\(0\d{{1,4}}\)\s?|0\d{{1,4}}[\s./-])\d{{3,4}}[\s./-]?\d{{4}}\b{EXTENSION}")),
+    ("phone", "four digits", re.compile(rf"(?<![\w.,/-])0\d{{9,10}}\b{EXTENSION}")),
+    ("phone", "four digits", re.compile(r"(?<![\w.,/-])(?<!\d\s)\d{3}[\s-]\d{4},?\s(?:ext\.?|extension|x)\s?\d{1,5}\b")),
+    ("phone", "digit word", re.compile(rf"(?<!\w){DIGIT_WORD}(?:[\s,-]+{DIGIT_WORD}){{6,14}}(?!\w)", re.I)),
 ]
+#: Numbers that only the words before them tell: a short phone number, and a number of an identity paper or account.
+SHORT_PHONE = re.compile(r"(?<![\w.,/-])(?<!\d\s)(?:\(?\d{3}\)?[\s.-])?\d{3}[\s.-]?\d{4}\b(?!\s\d)")
+PHONE_CUE = re.compile(r"(?:\b(?:tel|telephone|phone|mobile|cell|fax|call|ring|rang|rung|reach|reached|dial|number|telefon|nummer|rufen|numéro|téléphone|appeler)\b|tel\.)[^\d\n]{0,24}$", re.I)
+PAPER = re.compile(r"(?<![\w.,/+-])[A-Z]{0,2}\d{6,12}(?![\w/-])")
+PAPER_CUE = re.compile(r"\b(?:passport|identity card|national insurance|social security|ssn|licen[cs]e|account|iban|tax id|taxpayer|ausweis|pass|konto|passeport|compte)(?:\s(?:no|nr|number|id|nummer|numéro)\b\.?)?[\s:#]{1,3}$", re.I)
+
+
+def luhn(digits: str) -> bool:
+    """The check sum of card numbers."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
 
 GIVEN = "(?:" + "|".join(sorted({f for full, (_, short) in SHORT_FORMS.items() for f in (full, *short)}, key=lambda x: (-len(x), x))) + ")"
 SURNAME = rf"(?:(?:[OD]['’]|Mc|Mac|von\s|van\s|de\s)?[{UP}][{LOW}]{{2,}}(?:-[{UP}][{LOW}]+)*)"
 CAPITALS = rf"[{UP}]{{3,}}(?:-[{UP}]{{2,}})*"
 MIDDLE = r"(?:\s[A-Z]\.){0,3}"
 NAME = re.compile(rf"(?<![\w'’-])(?:(?P<g1>{GIVEN}){MIDDLE}\s(?P<s1>{SURNAME}|{CAPITALS})|(?P<s2>{CAPITALS}|{SURNAME}),\s(?P<g2>{GIVEN}|[A-Z]\.){MIDDLE}|(?P<g3>[A-Z])\.{MIDDLE}\s(?P<s3>{SURNAME}|{CAPITALS}))(?![\w-]|\s(?:{STREET}|{BUILDING}|Foundation|Trust|Prize|Award|Library|School|Hospital|Institute|Act|Bill|Report|Committee|Alliance|Group|Union|Bench)\b)")
+# Titles and other words that stand before a name whichever it is, and the offices that are written like one.
+TITLED = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Mme|Mlle|Madame|Monsieur)\.?|\b[Cc]ontact|\b[Aa]sk for|\b[Ww]rite to|\b[Ss]igned:?|\b[Aa]ttn:?|\b[Dd]ear|\b[Ss]incerely,|\b[Mm]y name is|\bAnsprechpartner(?:in)?:?|\bKontakt:?|\bgez\.|\b[Ss]igné:?)\s(?=[A-ZÀ-Þ])")
+OFFICES = frozenset("speaker president chair chairman chairwoman chairperson minister secretary deputy madam madame commissioner member members leader prime first vice acting honourable state foreign house committee council commission parliament government ministry clerk order president präsident präsidentin vizepräsident vizepräsidentin ministerin staatssekretär kanzler kanzlerin abgeordnete abgeordneter kollege kollegin vorsitzende vorsitzender président présidente ministre secrétaire député députée".split())
+AND = r"\s(?:and|und|et|&)\s(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle)\.?\s)?"
 # Words after which a person is named, for given names that no list has.
 CUE = re.compile(r"(?:Applicant:|[Nn]amed?:?|\bfile of|\bcase of|lodged by|letter from|signs as|signed by|said of|of mine,|neighbour|gallery,|patient|claimant|Antrag von|\bFall|[Ss]chrieb|Akte von|lettre de|dossier de|m['’]écrit)\s(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|M|Mme|Dame|Sir)\.?\s)?(?=[A-ZÀ-Þ])")
+NOT_AFTER = rf"(?![\w-]|\s(?:{STREET}|{BUILDING}|Foundation|Trust|Prize|Award|Library|School|Hospital|Institute|Act|Bill|Report|Committee|Alliance|Group|Union|Bench)\b)"
 ANY = re.compile(rf"(?P<g1>{CAP}){MIDDLE}\s(?P<s1>{SURNAME})(?![\w-])|(?P<s2>{CAPITALS}),\s(?P<g2>{CAP}){MIDDLE}(?![\w-])")
+JOINED = re.compile(rf"{AND}(?P<g1>{CAP}){MIDDLE}\s(?P<s1>{SURNAME}){NOT_AFTER}")
+JOINED_BEFORE = re.compile(rf"(?<![\w'’.-])(?<!\w\s)(?P<g1>{CAP}){MIDDLE}\s(?P<s1>{SURNAME}){AND}$")
 #: A name that opens a turn: it stands first in its line or sentence, perhaps with a party in brackets, before a colon.
 OPENS = re.compile(r"(?:^|[\n\r]|[.!?)\]>—:…“”\"]\s)\s*(?:\W*(?:Mr|Mrs|Ms|Dr|Prof|Sir|Dame|Lord|Lady|Herr|Frau|M|Mme)\.?\s)?$")
 TURN = re.compile(r"\s*(?:[(\[][^()\[\]\n]{0,60}[)\]])?\s*:")
@@ -70,6 +112,9 @@ def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c) and c.isalnum())
 
 
+_OFFICES = frozenset(map(fold, OFFICES))
+
+
 class Roll:
     """Members, told from private persons under any spelling of their names."""
 
@@ -105,11 +150,27 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
         i = bisect(taken, (a, b))
         return (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0])
 
-    for kind, pattern in PATTERNS:
+    def add(kind: str, a: int, b: int) -> None:
+        insort(taken, (a, b))
+        out.append((kind, text[a:b], a, b))
+
+    has: dict[str, bool] = {}
+    for kind, need, pattern in PATTERNS:
+        if need not in has:
+            has[need] = NEEDS[need](text)
+        if not has[need]:
+            continue
         for m in pattern.finditer(text):
             if free(*m.span()):
-                insort(taken, m.span())
-                out.append((kind, m.group(), *m.span()))
+                if kind != "card":
+                    add(kind, *m.span())
+                elif 13 <= len(digits := re.sub(r"\D", "", m.group())) <= 19 and luhn(digits):
+                    add("id_number", *m.span())
+    if has["four digits"]:
+        for kind, pattern, before in (("id_number", PAPER, PAPER_CUE), ("phone", SHORT_PHONE, PHONE_CUE)):
+            for m in pattern.finditer(text):
+                if free(*m.span()) and before.search(text[max(0, m.start() - 60) : m.start()]):
+                    add(kind, *m.span())
     said_by = fold(speaker or "")
     firsts = {w[0] for w in map(fold, re.split(r"[\s,._]+", speaker or "")) if w}
 
@@ -129,13 +190,31 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
         elif m["s2"] and not m["s2"].isupper() and fold(m["s2"]) in FULL:
             pos = a + len(m["s2"])  # two persons in a row
         elif not MEMBER.search(before) and not (TURN.match(text, b) and OPENS.search(before)) and private(m):
-            insort(taken, (a, b))
-            out.append(("name", m.group(), a, b))
+            add("name", a, b)
     for cue in CUE.finditer(text):
         m = ANY.match(text, cue.end())
         if m and free(*m.span()) and fold(m["g1"] or m["g2"]) not in FULL and private(_Named(m)):
-            insort(taken, m.span())
-            out.append(("name", m.group(), *m.span()))
+            add("name", *m.span())
+
+    def person(m: re.Match[str] | None, a: int, b: int) -> bool:
+        """Whether two capitalised words that no list has are a person's name and no office, party, member, speaker or opener of a turn."""
+        if not m or not free(a, b) or m.group("g1") is None:
+            return False
+        g, f = fold(m["g1"]), fold(m["s1"])
+        return g not in FULL and not {g, f} & (_OFFICES | roll.party_words) and not TURN.match(text, b) and not MEMBER.search(text[max(0, a - 40) : a]) and private(_Named(m))
+
+    for cue in TITLED.finditer(text):
+        m = ANY.match(text, cue.end())
+        if m and person(m, *m.span()) and re.match(NOT_AFTER, text[m.end() :]):
+            add("name", *m.span())
+    # Whoever is named beside a person is one too.
+    queue = [(a, b) for kind, _, a, b in out if kind == "name"]
+    while queue:
+        a, b = queue.pop()
+        for m in (JOINED.match(text, b), JOINED_BEFORE.search(text, max(0, a - 80), a)):
+            if m and person(m, m.start("g1"), m.end("s1")):
+                add("name", m.start("g1"), m.end("s1"))
+                queue.append((m.start("g1"), m.end("s1")))
     return sorted(out, key=lambda x: x[2])
 
 
@@ -173,13 +252,41 @@ def detect(docs: DataFrame, members: DataFrame) -> DataFrame:
     return spread(docs.where(F.length("text") > 0), "doc_id", "text", "speaker").mapInArrow(run, SPAN)
 
 
+def name_parts(value: str) -> list[tuple[str, int, int]]:
+    """(part, start, stop) of a name as written, part being 'given', 'initial', 'surname' or 'middle' (a further initial).
+
+    Listed given names are known by themselves.  Of other names the words
+    before a comma are the surname, else the last word is, and a single
+    letter with or without a dot is an initial.
+    """
+    if m := NAME.fullmatch(value):
+        kinds = {"s": "surname", "g": "given"}
+        parts = [(kinds[g[0]], *m.span(g)) for g in ("g1", "s1", "g2", "s2", "g3", "s3") if m[g]]
+        return _with_middle(value, [("initial" if p == "given" and len(value[x:y].rstrip(".")) == 1 else p, x, y) for p, x, y in parts])
+    words = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*\.?", value)]
+    if not words:
+        return []
+    comma = value.find(",")
+    last = max((k for k, w in enumerate(words) if comma < 0 or w[1] < comma), default=len(words) - 1)
+    given = next((k for k, w in enumerate(words) if k != last and (comma < 0 or w[1] > comma)), None)
+    out = [("surname", *words[last][1:])]
+    if given is not None:
+        out.append(("initial" if len(words[given][0].rstrip(".")) == 1 else "given", *words[given][1:]))
+    return _with_middle(value, out)
+
+
+def _with_middle(value: str, parts: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    middle = [("middle", *m.span()) for m in re.finditer(r"(?<![\w’'-])[^\W\d_](?=\.)", value)]
+    return sorted([*parts, *(x for x in middle if not any(a <= x[1] < b for _, a, b in parts))], key=lambda x: x[1])
+
+
 def canonical(kind: str, value: str) -> str:
     """What all forms of one entity share: letters and digits without layout; of a name, surname and given name in that order."""
     if kind == "name":
-        m = NAME.fullmatch(value)
-        if m:
-            given = fold(m["g1"] or m["g2"] or m["g3"])
-            return f"{fold(m['s1'] or m['s2'] or m['s3'])}|{min(FULL.get(given, {given}))}"
+        parts = {p: fold(value[x:y]) for p, x, y in name_parts(value)}
+        if "surname" in parts and {"given", "initial"} & parts.keys():
+            given = parts.get("given") or parts["initial"]
+            return f"{parts['surname']}|{min(FULL.get(given, {given}))}"
     if kind == "email":
         value = re.sub(DOT, ".", re.sub(AT, "@", value))
         return "".join(value.lower().split())
@@ -197,36 +304,71 @@ def _stream(key: str, *parts: object) -> Iterator[int]:
 _ONSET, _VOWEL, _CODA = ("b", "d", "f", "g", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "z"), "aeiou", ("", "l", "m", "n", "r", "s", "t")
 
 
-def _word(bytes_: Iterator[int], like: str) -> str:
-    """A pronounceable word in the case and about the length of ``like``."""
-    out = ""
+# Letters of other scripts from which names are made in the same way; of scripts without such letters signs are exchanged one by one.
+_SCRIPTS = {
+    "CYRILLIC": (tuple("бвгдзклмнпрст"), "аеиоу", ("", "в", "к", "л", "н", "р", "с")),
+    "GREEK": (tuple("βγδζκλμνπρστ"), "αειου", ("", "ν", "ρ", "σ")),
+}
+
+
+def script(word: str) -> str:
+    """The script of a word's first letter, as Unicode names it."""
+    return next((unicodedata.name(c, "LATIN").split()[0] for c in word if c.isalpha()), "LATIN")
+
+
+def _word(bytes_: Iterator[int], like: str, initial: str = "") -> str:
+    """A pronounceable word in the case, script and about the length of ``like``, perhaps with a given first letter."""
+    of = script(like)
+    if of not in ("LATIN", *_SCRIPTS):
+        return "".join(chr(ord(c) - ord(c) % 64 + next(bytes_) % 64) if c.isalpha() else c for c in like)
+    onset, vowel, coda = _SCRIPTS.get(of, (_ONSET, _VOWEL, _CODA))
+    out = initial.lower()
+    if out and out not in vowel:
+        out += vowel[next(bytes_) % len(vowel)] + coda[next(bytes_) % len(coda)]
     while len(out) < max(3, len(like) - 1):
-        out += _ONSET[next(bytes_) % 15] + _VOWEL[next(bytes_) % 5] + _CODA[next(bytes_) % 7]
+        out += onset[next(bytes_) % len(onset)] + vowel[next(bytes_) % len(vowel)] + coda[next(bytes_) % len(coda)]
     return out.upper() if like.isupper() and len(like) > 1 else out.capitalize() if like[:1].isupper() else out
 
 
+def _given(key: str, surname: str, old: str) -> str:
+    """The given name that stands for another one of a family: its first letter is that which stands for the old first letter, so that initials agree; of the same gender where that is known."""
+    full = min(FULL.get(fold(old), {fold(old)}))
+    if script(old) == "LATIN" and GENDER.get(fold(old)):
+        letter = _initial(key, surname, full[:1])
+        pool = sorted(n for n, (g, _) in SHORT_FORMS.items() if g == GENDER[fold(old)] and n[0] == letter and n.lower() != full)
+        if pool:
+            return pool[next(_stream(key, "g", full)) % len(pool)]
+    stream = _stream(key, "g", full)
+    return _word(stream, old, _initial(key, surname, fold(old)[:1]) if script(old) == "LATIN" else "")
+
+
+def _initial(key: str, surname: str, old: str) -> str:
+    """The letter that stands for the initial of a given name in a family, one with which given names of either gender begin."""
+    letters = sorted({n[0] for n, (g, _) in SHORT_FORMS.items() if g == "f"} & {n[0] for n, (g, _) in SHORT_FORMS.items() if g == "m"})
+    return letters[next(_stream(key, "i", surname, old.upper())) % len(letters)]
+
+
 def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
-    """A replacement of the same kind and form: digits for digits, letters for letters, a name of the same gender.
+    """A replacement of the same kind and form: digits for digits, letters for letters, a name of the same gender and script.
 
     Parts of a name are replaced by themselves, so that all forms of one name
-    stay forms of one other name, and relatives keep a common surname.
+    stay forms of one other name, initials included, and relatives keep a
+    common surname.  Names that no list has are taken apart by their form.
     ``attempt`` gives another choice if this one collides.
     """
-    if kind == "name" and (m := NAME.fullmatch(value)):
+    if kind == "name" and (parts := name_parts(value)):
         out, shift = value, 0
-        surname = m["s1"] or m["s2"] or m["s3"]
-        for group in sorted((g for g in ("g1", "s1", "g2", "s2", "g3", "s3") if m[g]), key=m.start):
-            old = m[group]
-            if group[0] == "s":
+        surname = next((fold(value[x:y]) for p, x, y in parts if p == "surname"), "")
+        for part, a, b in parts:
+            old = value[a:b]
+            if part == "surname":
                 new = "-".join(_word(_stream(key, "s", fold(x), attempt), x) for x in old.split("-"))
-            elif len(old.rstrip(".")) == 1:
-                new = chr(65 + next(_stream(key, "i", fold(surname), old[0], attempt)) % 26) + old[1:]
+            elif part in ("initial", "middle"):
+                new = _initial(key, surname, old[0]) + old[1:]
             else:
-                full = min(FULL.get(old.lower(), {old.lower()}))
-                pool = sorted(n for n, (g, _) in SHORT_FORMS.items() if g == GENDER.get(old.lower(), g) and n.lower() != full)
-                new = pool[next(_stream(key, "g", full, attempt)) % len(pool)]
-            a, b = m.start(group) + shift, m.end(group) + shift
-            out = out[:a] + new + out[b:]
+                new = _given(key, surname, old)
+                new = new.upper() if old.isupper() and len(old) > 1 else new
+            out = out[: a + shift] + new + out[b + shift :]
             shift += len(new) - len(old)
         return out
     if kind == "phone" and not any(c.isdigit() for c in value):
@@ -298,6 +440,16 @@ def surrogates(found: DataFrame, key: str, max_rounds: int = 20) -> DataFrame:
     raise RuntimeError("surrogates keep colliding")
 
 
+def pseudonyms(docs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(doc_id, kind, value, start, stop, surrogate) of every piece in whole texts, with what is to stand in its place.
+
+    The whole operator: detection, keyed surrogates of the same form, and
+    their check for collisions over all texts.
+    """
+    found = cut(detect(docs, members))
+    return found.join(surrogates(found, key).select("kind", "value", "surrogate").hint("merge"), ["kind", "value"]).select("doc_id", "kind", "value", "start", "stop", "surrogate")
+
+
 def replaced(docs: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFrame:
     """(doc_id, text): each text with its pieces replaced; texts without any are left as they are, null included."""
     spans = found.join(chosen.select("kind", "value", "surrogate"), ["kind", "value"])

@@ -81,7 +81,7 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d).select("doc_id", "kind", "value").distinct()
+    return pii.pseudonyms(table(spark, d, "documents"), table(spark, d, "member_roll"), KEY).select("doc_id", "kind", "value").distinct()
 
 
 def p10_surrogates(spark: SparkSession, d: str) -> DataFrame:

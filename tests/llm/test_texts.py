@@ -267,3 +267,39 @@ def test_collisions_are_resolved(spark):
     got = pii.surrogates(found, "k").collect()
     assert len({r["surrogate"] for r in got}) == 40 and not {r["surrogate"] for r in got} & {f"{i:02}" for i in range(40)}
     assert max(r["attempt"] for r in got) > 0
+
+
+NO_ROLL = pii.Roll([])
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Contact Emma Wilson.", [("name", "Emma Wilson")]), ("Please ask for Björn Ødegaard today.", [("name", "Björn Ødegaard")]), ("Dr. Zoltán Kovács and Wei Chen agreed.", [("name", "Zoltán Kovács"), ("name", "Wei Chen")]),
+        ("Amara Okafor and Mr Peter Stone", [("name", "Amara Okafor"), ("name", "Peter Stone")]), ("Frau Ilse Wagner und Jürgen Maier", [("name", "Ilse Wagner"), ("name", "Jürgen Maier")]),
+        ("call me at 555-1234", [("phone", "555-1234")]), ("Ring 020 7946 0958 now", [("phone", "020 7946 0958")]), ("phone: (212) 555-0199", [("phone", "(212) 555-0199")]),
+        ("SSN 123-45-6789", [("id_number", "123-45-6789")]), ("Passport 123456789", [("id_number", "123456789")]), ("passport no. C1234567", [("id_number", "C1234567")]), ("card 4111 1111 1111 1111", [("id_number", "4111 1111 1111 1111")]),
+        ("1600 Pennsylvania Avenue, Washington DC 20500", [("address", "1600 Pennsylvania Avenue, Washington DC 20500")]), ("at 12 Elm Street, Cedar Falls, IA 50613-1234.", [("address", "12 Elm Street, Cedar Falls, IA 50613-1234")]),
+        ("card 4111 1111 1111 1112", []), ("The vote of 555-1234 members", []), ("Mr Deputy Speaker, Madam President", []), ("Frau Präsidentin Meyer", []), ("It cost 123456789 crowns", []), ("Dear Prime Minister", []),
+    ],
+)
+def test_found_by_form_and_context(text, want):
+    """Persons, numbers and addresses that no list has."""
+    assert [(k, v) for k, v, _, _ in pii.find(text, NO_ROLL)] == want
+
+
+def test_surrogates_of_unlisted_names_agree():
+    full, comma, initial = (pii.surrogate("name", v, "k") for v in ("Zoltán Kovács", "Kovács, Zoltán", "Z. Kovács"))
+    given, surname = full.split()
+    assert comma == f"{surname}, {given}" and initial == f"{given[0]}. {surname}" and not set(pii.fold(surname)) == set("kovacs")
+    full, short, initial = (pii.surrogate("name", v, "k") for v in ("John Smith", "J. R. Smith", "Smith, J."))
+    assert short.split()[0] == f"{full[0]}." and initial == f"{full.split()[1]}, {full[0]}." and short.split()[2] == full.split()[1] and " R. " not in short
+    greek, russian, chinese = (pii.surrogate("name", v, "k") for v in ("Γιώργος Παπαδόπουλος", "Иван Петров", "王 小明"))
+    assert {pii.script(x) for x in greek.split()} == {"GREEK"} and {pii.script(x) for x in russian.split()} == {"CYRILLIC"} and {pii.script(x) for x in chinese.split()} == {"CJK"}
+    assert pii.canonical("name", "Kovács, Zoltán") == pii.canonical("name", "Zoltan Kovacs")
+
+
+def test_pseudonyms(spark):
+    docs = spark.createDataFrame([(1, "Dr Zoltán Kovács wrote; Z. Kovács rang.", None), (2, "Kovács, Zoltán", None), (3, None, None)], DOCS).withColumn("surrogate", F.lit(1))
+    got = {(r["doc_id"], r["value"]): r["surrogate"] for r in pii.pseudonyms(docs, spark.createDataFrame([], "full_name string, party string"), "k").collect()}
+    assert got == {(1, v): pii.surrogate("name", v, "k") for v in ("Zoltán Kovács", "Z. Kovács")}
