@@ -271,7 +271,8 @@ def name_parts(value: str) -> list[tuple[str, int, int]]:
     given = next((k for k, w in enumerate(words) if k != last and (comma < 0 or w[1] > comma)), None)
     out = [("surname", *words[last][1:])]
     if given is not None:
-        out.append(("initial" if len(words[given][0].rstrip(".")) == 1 else "given", *words[given][1:]))
+        one = len(words[given][0].rstrip(".")) == 1 and script(words[given][0]) in ("LATIN", *_SCRIPTS)
+        out.append(("initial" if one else "given", *words[given][1:]))
     return _with_middle(value, out)
 
 
