@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,14 +25,19 @@ BAND_WORDS = {
     "philharmonic": ("phil", "philh", "philharmonic"), "society": ("soc", "society"), "ensemble": ("ens", "ensemble"), "orchestra": ("orch", "orchestra"),
     "quartet": ("qrt", "qt", "qtet", "4tet", "quart", "quartet"), "quintet": ("qnt", "5tet", "quintet"), "trio": ("trio",), "duo": ("duo",), "sound": ("snd", "sound"), "system": ("sys", "syst", "system"),
     "soundsystem": ("soundsystem",), "band": ("band",), "collective": ("coll", "collective"), "project": ("proj", "project"), "group": ("grp", "group"), "symphony": ("symph", "symphony"),
-    "singers": ("singers",), "players": ("players",), "big": ("big",), "string": ("str", "string"),
+    "singers": ("singers",), "players": ("players",), "big": ("big",), "string": ("str", "string"), "sextet": ("sxt", "6tet", "sextet"), "septet": ("7tet", "septet"), "octet": ("8tet", "octet"),
+    "sinfonia": ("sinf", "sinfonia"), "sinfonietta": ("sinfonietta",), "consort": ("consort",), "camerata": ("camerata",), "allstars": ("allstars",), "crew": ("crew",), "experience": ("exp", "experience"), "family": ("fam", "family"),
 }
+#: Band words that are written as one or as two.
+AS_ONE = {("sound", "system"): "soundsystem"}
 WORD_OF = {form: word for word, forms in BAND_WORDS.items() for form in forms}
 NOT_ARTISTS = ("Various Artists", "Unknown Artist")
 # Letters that sound alike, longest first.
 SOUNDS = (("qu", "kv"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("sch", "s"), ("sh", "s"), ("x", "ks"), ("q", "k"), ("c", "k"), ("z", "s"), ("y", "i"), ("w", "v"), ("dt", "t"))
-#: Codes of more letters are blocked by their ends alone.
-LONG = 48
+#: Codes of more letters meet by pieces instead of by what is left without one letter: six to twelve of PIECE letters or of twice, four times ... as many.  Two edits leave two pieces whole.
+LONG, PIECE = 48, 8
+#: How much more often the words of a name must stand the other way round elsewhere for it to be turned.
+TURNED = 3
 #: Least similarity of the nearest words of two names that were written on one file.
 SAME_FILE = 0.5
 
@@ -91,25 +97,40 @@ def band_word(word: str) -> str:
     return next((x for x in BAND_WORDS if len(x) >= 5 and near(x, w) == 1), "")
 
 
-def parse(name: str) -> tuple[str, str, str] | None:
+def _words(name: str) -> tuple[list[str], bool]:
+    """(words in lower case without 'the', those that are parts of one band word joined, whether 'the' was there)."""
+    words = [t.rstrip(".") for t in re.findall(r"[^\W_]+\.?", fold(name))]
+    bare = [w for w in words if w != "the"] or words
+    out: list[str] = []
+    for w in bare:
+        # A band word that a blank fell into.
+        if out and out[-1] + w in WORD_OF and not (out[-1] in WORD_OF and w in WORD_OF):
+            out[-1] += w
+        else:
+            out.append(w)
+    return out, "the" in words
+
+
+def parse(name: str, turned: bool = False) -> tuple[str, str, str] | None:
     """(kind, code, given) of a spelling: ('band', code of its own name, its band words) or ('person', code of the surname, given name or initial).
 
     The order of parts does not matter, nor do titles, articles, middle
-    initials, case, accents and layout.  None if there are no letters.
+    initials, case, accents and layout.  Of two words that no list has the
+    first is the given name, or the last if ``turned``.  None if there are no
+    letters.
     """
     comma = "," in name
-    tokens = re.findall(r"[^\W_]+\.?", fold(name))
-    words = [t.rstrip(".") for t in tokens]
+    words, the = _words(name)
     if not words:
         return None
-    joined = " ".join(w for w in words if w != "the")
-    joined = joined.replace("sound system", "soundsystem").replace("snd system", "soundsystem").replace("quar tet", "quartet")
-    words = joined.split() or words
     types = [(w, band_word(w)) for w in words]
     own = [w for w, t in types if not t]
-    if own and len(own) < len(words) and (len(own) == 1 or "the" in tokens or not any(known_given(w) for w in own)):
-        kind = "+".join(sorted({t for _, t in types if t}))
-        return "band", sound("".join(own)), kind
+    if own and len(own) < len(words) and (len(own) == 1 or the or not any(known_given(w) for w in own)):
+        kinds = {t for _, t in types if t}
+        for pair, one in AS_ONE.items():
+            if kinds >= set(pair):
+                kinds = kinds - set(pair) | {one}
+        return "band", sound("".join(own)), "+".join(sorted(kinds))
     words = [w for w in words if w not in TITLES] or words
     if len(words) == 1:
         return "person", sound(words[0]), ""
@@ -128,21 +149,33 @@ def parse(name: str) -> tuple[str, str, str] | None:
         exact = [i for i, _ in firsts if long[i] in FULL]
         at = exact[0] if exact else firsts[0][0]
     else:
-        at = 0
+        at = len(long) - 1 if turned else 0
     given = known_given(long[at]) or long[at]
     return "person", sound("".join(w for i, w in enumerate(long) if i != at)), given
 
 
+def unlisted(name: str) -> tuple[str, str, bool] | None:
+    """(given, surname, whether that order is sure) of a person's name of two words that no list has; sure if a comma tells."""
+    words, _ = _words(name)
+    long = [w for w in words if w not in TITLES and len(w) > 1]
+    if len(long) != 2 or any(known_given(w) or band_word(w) for w in long):
+        return None
+    return (long[1], long[0], True) if "," in name else (long[0], long[1], False)
+
+
 def block_keys(kind: str, codes: list[str], givens: list[str]) -> set[str]:
     """Where a profile looks for its like: its codes with any one letter left out, and both ends of a code
-    under the band kind or a given name that is one person's (in such a block a short form of several names would see only one of them)."""
+    under the band kind or a given name that is one person's (in such a block a short form of several names would see only one of them).
+    Long codes look by pieces, each where it stands and up to two letters beside that."""
     out = set()
     for c in codes:
         out.add(f"{kind[0]}{c}")
-        if len(c) > LONG:
-            out.update((f"{kind[0]}<<{c[:LONG // 2]}", f"{kind[0]}>>{c[-LONG // 2:]}"))
-        elif len(c) > 4:
+        if 4 <= len(c) <= LONG + 2:
             out.update(f"{kind[0]}{c[:i]}{c[i + 1:]}" for i in range(len(c)))
+        if len(c) >= LONG - 2:
+            for size in {PIECE << max(0, (n // LONG).bit_length() - 1) for n in (len(c) - 2, len(c) + 2)}:  # of codes two letters shorter or longer too
+                pieces = ((at, c[max(0, at + s) : at + s + size]) for at in range(0, len(c) - size + 1, size) for s in range(-2, 3))
+                out.update(f"{kind[0]}#{size}|{at}|{hashlib.blake2b(x.encode(), digest_size=8).hexdigest()}" for at, x in pieces if len(x) == size)
         if len(c) > 4:
             for g in givens:
                 if kind == "band":
@@ -180,13 +213,42 @@ def initial_agrees(initials: list[str], other: list[str]) -> bool:
     return any(may_be(i, g) for i in initials for g in other if g)
 
 
-class _Group:
-    def __init__(self, pid: int, codes: list[str], givens: list[str]) -> None:
-        self.pids, self.codes, self.givens = [pid], list(codes), list(givens)
+class _Groups:
+    """The merged groups of a block, found by what a given name, an initial or band words may agree in."""
+
+    def __init__(self) -> None:
+        self.codes: dict[int, list[str]] = {}
+        self.givens: dict[int, list[str]] = {}
+        self.first: dict[int, int] = {}
+        self.index: dict[str, set[int]] = {}
+
+    @staticmethod
+    def tokens(kind: str, givens: list[str]) -> set[str]:
+        """Names whose givens agree share one: a full name, or a name that no list has without one of its letters."""
+        if kind == "band":
+            return set(givens)
+        out = set(persons(givens))
+        for g in [g for g in out if g not in FULL]:
+            out.update(g[:i] + g[i + 1 :] for i in range(len(g)))
+        return out
+
+    def put(self, number: int, kind: str, pid: int, codes: list[str], givens: list[str]) -> None:
+        self.first.setdefault(number, pid)
+        self.codes[number], self.givens[number] = sorted({*self.codes.get(number, ()), *codes}), sorted({*self.givens.get(number, ()), *givens})
+        own = self.givens[number]
+        initials = {f"^{x[0]}" for g in own if g for x in (FULL.get(g, frozenset()) | {g})}
+        for t in self.tokens(kind, own) | initials:
+            self.index.setdefault(t, set()).add(number)
+
+    def drop(self, number: int) -> tuple[list[str], list[str]]:
+        return self.codes.pop(number), self.givens.pop(number)
+
+    def near(self, tokens: set[str]) -> list[int]:
+        return sorted({g for t in tokens for g in self.index.get(t, ()) if g in self.codes})
 
 
 def resolve(kind: str, profiles: list[tuple[int, list[str], list[str]]]) -> list[tuple[int, int]]:
-    """(pid, pid) links in one block, each record compared with the merged groups so far, never with all others.
+    """(pid, pid) links in one block, each record compared with the merged groups of agreeing given names so far, never with all others.
 
     Profiles whose given name is one person's come first, then those of short
     forms with several meanings, then those of initials, so that the less
@@ -194,49 +256,75 @@ def resolve(kind: str, profiles: list[tuple[int, list[str], list[str]]]) -> list
     agree among themselves, else the only one at the smallest distance; if
     there are several, it is left for a richer round.
     """
-    links, groups = [], []
-    full = sorted((p for p in profiles if kind == "band" or any(len(g) > 1 for g in p[2])), key=lambda p: (kind != "band" and len(persons(p[2])), p[0]))
-    for pid, codes, givens in full:
-        hits = [g for g in groups if distance(codes, g.codes) <= slack(codes, g.codes) and (set(givens) & set(g.givens) if kind == "band" else given_agree(givens, g.givens))]
-        if kind == "person" and any(not given_agree(g.givens, hits[0].givens) for g in hits):
-            least = min(distance(codes, g.codes) for g in hits)
-            hits = [g for g in hits if distance(codes, g.codes) == least]
+    links, groups = [], _Groups()
+    whole = lambda p: kind == "band" or any(len(g) > 1 for g in p[2])
+    agree = (lambda x, y: bool(set(x) & set(y))) if kind == "band" else given_agree
+    for number, (pid, codes, givens) in enumerate(sorted(filter(whole, profiles), key=lambda p: (kind != "band" and len(persons(p[2])), p[0]))):
+        hits = [g for g in groups.near(groups.tokens(kind, givens)) if distance(codes, groups.codes[g]) <= slack(codes, groups.codes[g]) and agree(givens, groups.givens[g])]
+        if kind == "person" and any(not given_agree(groups.givens[g], groups.givens[hits[0]]) for g in hits):
+            least = min(distance(codes, groups.codes[g]) for g in hits)
+            hits = [g for g in hits if distance(codes, groups.codes[g]) == least]
             if len(hits) > 1:
                 continue
-        if not hits:
-            groups.append(_Group(pid, codes, givens))
-            continue
-        links += [(g.pids[0], pid) for g in hits]
+        links += [(groups.first[g], pid) for g in hits]
         for g in hits[1:]:
-            groups.remove(g)
-            codes, givens = sorted({*codes, *g.codes}), sorted({*givens, *g.givens})
-        hits[0].codes = sorted({*hits[0].codes, *codes})
-        hits[0].givens = sorted({*hits[0].givens, *givens})
-    bare: list[_Group] = []
-    for pid, codes, givens in (p for p in profiles if p not in full):
-        fits = [(distance(codes, g.codes), g) for g in groups if initial_agrees(givens, g.givens) and distance(codes, g.codes) <= min(1, slack(codes, g.codes))]
+            more = groups.drop(g)
+            codes, givens = [*codes, *more[0]], [*givens, *more[1]]
+        groups.put(hits[0] if hits else number, kind, pid, codes, givens)
+    bare = _Groups()
+    for number, (pid, codes, givens) in enumerate(p for p in profiles if not whole(p)):
+        close = lambda g, of: distance(codes, of.codes[g]) <= min(1, slack(codes, of.codes[g]))  # noqa: B023, E731
+        fits = [(distance(codes, groups.codes[g]), g) for g in groups.near({f"^{x}" for x in givens}) if initial_agrees(givens, groups.givens[g]) and close(g, groups)]
         least = min((d for d, _ in fits), default=9)
         fits = [g for d, g in fits if d == least]
         if len(fits) == 1:
-            links.append((fits[0].pids[0], pid))
-            continue
+            links.append((groups.first[fits[0]], pid))
         if fits:
             continue
-        same = [g for g in bare if set(g.givens) & set(givens) and distance(codes, g.codes) <= min(1, slack(codes, g.codes))]
+        same = [g for g in bare.near({f"^{x}" for x in givens}) if set(bare.givens[g]) & set(givens) and close(g, bare)]
         if same:
-            links.append((same[0].pids[0], pid))
+            links.append((bare.first[same[0]], pid))
         else:
-            bare.append(_Group(pid, codes, givens))
+            bare.put(number, kind, pid, codes, givens)
     return links
 
 
+def turned(names: DataFrame) -> DataFrame:
+    """(name, turned): whether a name of two unlisted words has its surname first, as the other names tell.
+
+    Every name counts its words as given name and surname, in the order that
+    it has.  A name is turned if its words stand the other way round TURNED
+    times as often, or at all more often, or as often and in the order of the
+    alphabet, where the reversed name occurs too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(n, *p) for n in b.column(0).to_pylist() if (p := unlisted(n))]
+            types = (pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(types)], names=["name", "x", "y", "sure"])
+
+    two = cut(names.select("name").mapInArrow(run, "name string, x string, y string, sure boolean"))
+    words = two.select(F.explode(F.array(F.struct(F.col("x").alias("word"), F.lit(1).alias("g")), F.struct(F.col("y").alias("word"), F.lit(0).alias("g")))).alias("w")).select("w.*")
+    n = words.groupBy("word").agg(F.sum("g").alias("given"), F.sum(1 - F.col("g")).alias("last"))
+    n = cut(n)
+    side = lambda c: n.select(F.col("word").alias(c), F.col("given").alias(f"given_{c}"), F.col("last").alias(f"last_{c}"))
+    both = two.where(~F.col("sure")).join(side("x"), "x").join(side("y"), "y")
+    back = two.select(F.col("x").alias("y"), F.col("y").alias("x"), F.lit(True).alias("back")).distinct()
+    both = both.join(back, ["x", "y"], "left")
+    written, other = F.col("given_x") + F.col("last_y"), F.col("given_y") + F.col("last_x")
+    known = F.col("back").isNotNull() & ((other > written) | ((other == written) & (F.col("x") > F.col("y"))))
+    return both.select("name", (known | (other >= TURNED * written)).alias("turned")).where("turned")
+
+
 def _parsed(spellings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(n, *p) for n in b.column(0).to_pylist() if (p := parse(n))]
+            got = [(n, *p) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (p := parse(n, bool(t)))]
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.string()) for i in range(4)], names=["name", "kind", "code", "given"])
 
-    return spellings.select("name").mapInArrow(run, "name string, kind string, code string, given string")
+    both = spellings.select("name").join(turned(spellings), "name", "left")
+    return both.select("name", "turned").mapInArrow(run, "name string, kind string, code string, given string")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,16 +380,18 @@ def spellings_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names, both.where(named(F.col("a")) & named(F.col("b")) & (F.col("a") != F.col("b"))).distinct()
 
 
-def same_artist(names: DataFrame, together: DataFrame | None = None, max_rounds: int = 12) -> DataFrame:
+def same_artist(names: DataFrame, together: DataFrame | None = None) -> DataFrame:
     """(name, artist): each spelling with an identifier of its artist.
 
     A profile starts as all spellings with one kind, code and given name; it
     holds its codes, given names and initials.  Each round puts profiles into
     blocks, merges in every block what matches, unites links that meet into
     groups, and lets the merged profiles, now with the codes and names of all
-    their members, look again, until a round merges nothing.  Blocks and
-    groups are streams of rows; no block's pairs are listed.  Names without a
-    letter are artists of their own.
+    their members, look again, until a round merges nothing; as a round that
+    merges leaves fewer profiles, that comes.  Blocks and
+    groups are streams of rows; no block's pairs are listed.  A block holds
+    profiles, not rows: the different given names of one surname, or what one
+    band calls itself.  Names without a letter have no row.
     """
     parsed = cut(_parsed(names))
     first = parsed.select("kind", "code", "given").distinct().withColumn("pid", F.monotonically_increasing_id())
@@ -314,7 +404,7 @@ def same_artist(names: DataFrame, together: DataFrame | None = None, max_rounds:
         good = together.where(alike("a", "b"))
         x = good.join(owner.select(F.col("name").alias("a"), F.col("pid").alias("x")), "a").join(owner.select(F.col("name").alias("b"), F.col("pid").alias("y")), "b")
         extra = x.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    for _ in range(max_rounds):
+    while True:
         links = profiles.select("pid", "kind", "codes", "givens").mapInArrow(_keys, "key string, pid bigint, kind string, codes array<string>, givens array<string>")
         links = links.repartition("key").sortWithinPartitions("key").mapInArrow(_blocks, "a bigint, b bigint")
         if extra is not None:
@@ -329,8 +419,15 @@ def same_artist(names: DataFrame, together: DataFrame | None = None, max_rounds:
     return owner.join(of, "pid").select("name", F.col("group").alias("artist"))
 
 
-def variants(files: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b: all pairs of different spellings of one artist."""
+def artists(files: DataFrame) -> DataFrame:
+    """(name, artist): every spelling, once, with the least spelling of its artist; one row for each, however many there are of one artist.  Names without a letter are artists of their own."""
     names, together = spellings_of(files)
     of = cut(same_artist(names, together))
+    of = of.join(of.groupBy("artist").agg(F.min("name").alias("least")), "artist").select("name", "least")
+    return names.join(of, "name", "left").select("name", F.coalesce("least", "name").alias("artist"))
+
+
+def variants(files: DataFrame) -> DataFrame:
+    """(name_a, name_b), name_a < name_b: all pairs of different spellings of one artist."""
+    of = cut(artists(files))
     return of.select(F.col("name").alias("name_a"), "artist").join(of.select(F.col("name").alias("name_b"), "artist"), "artist").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")

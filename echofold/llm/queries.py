@@ -30,6 +30,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variants(table(spark, d, "audio_file"))
 
 
+def p2_artists(spark: SparkSession, d: str) -> DataFrame:
+    return names.artists(table(spark, d, "audio_file"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "posting")
     freq = frequency.frequencies(p, "term", "file_id")
@@ -93,7 +97,7 @@ def p10_replaced(spark: SparkSession, d: str) -> DataFrame:
     return pii.replaced(table(spark, d, "documents"), found, pii.surrogates(found, KEY))
 
 
-NAMES = (p1_found, p1_golden, p2_found, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_surrogates, p10_replaced)
+NAMES = (p1_found, p1_golden, p2_found, p2_artists, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_surrogates, p10_replaced)
 
 
 def queries() -> dict[str, Query]:

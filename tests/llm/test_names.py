@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -84,3 +86,47 @@ def test_one_file_tells(spark):
 
 def test_nothing(spark):
     assert names.variants(spark.createDataFrame([], FILES)).count() == 0
+
+
+UNLISTED = [
+    ["Laura Bianchi", "Bianchi Laura", "Bianchi, Laura", "L. Bianchi", "laura bianchi"],
+    ["Wei Wong", "Wong Wei"],
+    ["Laura Moretti"],
+    ["Bianchi, Marco", "Marco Bianchi"],
+    ["Quist Ensemble", "Quist Ens.", "Quist Ensem ble"],
+]
+
+
+def test_unlisted_names(spark):
+    """Which word is the surname of names that no list has is told by the other names."""
+    rows = [(f"/library/s1/{x}/Album/t.mp3", ("t", None)) for v in UNLISTED for x in v]
+    got = {tuple(r) for r in names.variants(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {tuple(sorted(p)) for v in UNLISTED for p in itertools.combinations(v, 2)}
+
+
+def test_artists(spark):
+    rows = [(f"/library/s1/{x}/Album/t.mp3", ("t", None)) for v in ARTISTS for x in v if "/" not in x] * 2
+    got = {r["name"]: r["artist"] for r in names.artists(spark.createDataFrame(rows, FILES)).collect()}
+    assert got == {x: min(v) for v in ARTISTS for x in v}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", min_size=44, max_size=140), st.lists(st.tuples(st.integers(0, 139), st.integers(0, 3)), max_size=2))
+def test_long_codes_meet(code, changes):
+    """Any two edits leave a common key, whatever the length."""
+    other = code
+    for at, kind in changes:
+        at %= len(other) - 1
+        other = {0: other[:at] + other[at + 1 :], 1: other[:at] + "c" + other[at:], 2: other[:at] + "c" + other[at + 1 :], 3: other[:at] + other[at + 1] + other[at] + other[at + 2 :]}[kind]
+    if len(code) >= 52 or len(changes) < 2:
+        assert names.block_keys("person", [code], []) & names.block_keys("person", [other], [])
+
+
+def test_large_block():
+    """A surname of very many given names takes time in proportion to them."""
+    rng = random.Random(5)
+    givens = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(4000)]
+    profiles = [(i, ["smith"], [g]) for i, g in enumerate(givens)] + [(9000 + i, ["smyth"], [g]) for i, g in enumerate(givens)]
+    began = time.time()
+    links = names.resolve("person", profiles)
+    assert sorted((a % 9000, b % 9000) for a, b in links) == [(i, i) for i in range(4000)] and time.time() - began < 30
