@@ -36,37 +36,37 @@ STATE_ZIP = r"(?:,?\s[A-Z]{2}\s\d{5}(?:-\d{4})?)"
 NEEDS = {
     "at": lambda t: "@" in t or bool(_BRACKETED_AT.search(t)),
     "digit": lambda t: bool(_DIGIT.search(t)),
-    "three digits": lambda t: bool(_THREE.search(t)),
-    "four digits": lambda t: bool(_FOUR.search(t)),
+    "six digits": lambda t: bool(_SIX.search(t)),
     "box": lambda t: "Box" in t,
     "building": lambda t: any(x in t for x in ("Cottage,", "House,", "Lodge,", "Farm,", "Hall,", "Villa,", "Manor,", "Mill,")),
     "german street": lambda t: any(x in t for x in ("str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "pfad", "hof", "chaussee")) and bool(_FOUR.search(t)),
     "french street": lambda t: bool(_FOUR.search(t)) and any(x in t for x in STREET_FR[3:-1].split("|")),
-    "digit word": lambda t: bool(_TWO_DIGIT_WORDS.search(t)),
+    "digit word": lambda t: bool(_TWO_DIGIT_WORDS.search(t.lower())),
 }
 _BRACKETED_AT = re.compile(r"[\[({]\s?(?:at|AT|ät)\s?[\])}]")
-_DIGIT, _THREE, _FOUR = re.compile(r"\d"), re.compile(r"\d{3}"), re.compile(r"\d{4}")
-_TWO_DIGIT_WORDS = re.compile(rf"\b{DIGIT_WORD}[\s,-]+{DIGIT_WORD}\b", re.I)
+# Six digits with nothing but layout, or a letter or two, between them.
+_DIGIT, _FOUR, _SIX = re.compile(r"\d"), re.compile(r"\d{4}"), re.compile(r"\d(?:[\s./()+-]{0,3}\d){5}")
+_TWO_DIGIT_WORDS = re.compile(rf"\b{DIGIT_WORD}[\s,-]+{DIGIT_WORD}\b")
 
 PATTERNS: list[tuple[str, str, re.Pattern[str]]] = [
     ("email", "at", re.compile(rf"(?<![\w.%+-])[\w%+-]+(?:\.[\w%+-]+)*{AT}[\w-]+(?:{DOT}[\w-]+)+")),
-    ("address", "digit", re.compile(rf"(?<!\w)\d{{1,5}}\s(?:{CAP}\s){{1,3}}{STREET},\s(?:{CAP}\s?){{1,3}}{STATE_ZIP}")),
-    ("address", "digit", re.compile(rf"(?<!\w)(?:Flat\s\d+[A-Za-z]?,\s)?\d{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
+    ("address", "digit", re.compile(rf"(?=\d)(?<!\w)\d{{1,5}}\s(?:{CAP}\s){{1,3}}{STREET},\s(?:{CAP}\s?){{1,3}}{STATE_ZIP}")),
+    ("address", "digit", re.compile(rf"(?=[F\d])(?<!\w)(?:Flat\s\d+[A-Za-z]?,\s)?\d{{1,4}}[A-Za-z]?,?\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
     ("address", "building", re.compile(rf"(?<!\w)(?:{CAP}\s){{1,2}}{BUILDING},\s(?:{CAP}\s){{1,3}}{STREET},\s{TOWN}")),
     ("address", "box", re.compile(rf"(?<!\w)P\.?\s?O\.?\sBox\s\d+,\s{TOWN}")),
     ("address", "german street", re.compile(rf"(?<!\w)[{UP}][{LOW}]+{STREET_DE}\s\d+(?:\s?[a-z]\b)?,\s\d{{4,5}}\s{CAP}")),
-    ("address", "french street", re.compile(rf"(?<!\w)\d{{1,4}}(?:\s?(?:bis|ter|quater|[A-D]))?,?\s{STREET_FR}\s(?:d(?:e|u|es|e la)\s)?{CAP},\s\d{{5}}\s{CAP}")),
-    ("id_number", "four digits", re.compile(r"(?<![\w/])[A-Z]{2}\d{2}(?:\s?\d{4}){3,7}(?:\s?\d{1,3})?(?![\w/])")),
-    ("id_number", "digit", re.compile(r"(?<![\w/])(?:[A-Z]{2}\s?(?:\d{6}|\d{2}\s\d{2}\s\d{2})\s?[A-Z]|[a-z]{2}\s?\d{6}\s?[a-z])(?![\w/])")),
-    ("id_number", "four digits", re.compile(r"(?<![\w/])[A-Z]\d{8}(?![\w/])")),
-    ("id_number", "three digits", re.compile(r"(?<![\w.])\d{1,2}\.\d{3}\.\d{3}-[\dKk](?![\w])")),
-    ("id_number", "three digits", re.compile(r"(?<![\w/-])\d{3}-\d{2}-\d{4}(?![\w/-])")),
-    ("id_number", "four digits", re.compile(r"(?<![\w.,+/-])(?<!\d\s)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[-+/\s]\d{4}(?![\w/]|[.,]\d)(?!\s\d)")),
-    ("card", "four digits", re.compile(r"(?<![\w/+.,-])(?<!\d\s)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w/-])(?!\s\d)")),
-    ("phone", "digit", re.compile(rf"(?<![\w+])(?:\+|00)\d{{1,3}}(?:\s?\(0\))?(?:[\s./-]?\d{{2,7}}){{2,6}}\b{EXTENSION}")),
-    ("phone", "four digits", re.compile(rf"(?<![\w.,/-])(?:\(0\d{{1,4}}\)\s?|0\d{{1,4}}[\s./-])\d{{3,4}}[\s./-]?\d{{4}}\b{EXTENSION}")),
-    ("phone", "four digits", re.compile(rf"(?<![\w.,/-])0\d{{9,10}}\b{EXTENSION}")),
-    ("phone", "four digits", re.compile(r"(?<![\w.,/-])(?<!\d\s)\d{3}[\s-]\d{4},?\s(?:ext\.?|extension|x)\s?\d{1,5}\b")),
+    ("address", "french street", re.compile(rf"(?=\d)(?<!\w)\d{{1,4}}(?:\s?(?:bis|ter|quater|[A-D]))?,?\s{STREET_FR}\s(?:d(?:e|u|es|e la)\s)?{CAP},\s\d{{5}}\s{CAP}")),
+    ("id_number", "six digits", re.compile(r"(?=[A-Z])(?<![\w/])[A-Z]{2}\d{2}(?:\s?\d{4}){3,7}(?:\s?\d{1,3})?(?![\w/])")),
+    ("id_number", "six digits", re.compile(r"(?<![\w/])(?:[A-Z]{2}\s?(?:\d{6}|\d{2}\s\d{2}\s\d{2})\s?[A-Z]|[a-z]{2}\s?\d{6}\s?[a-z])(?![\w/])")),
+    ("id_number", "six digits", re.compile(r"(?=[A-Z])(?<![\w/])[A-Z]\d{8}(?![\w/])")),
+    ("id_number", "six digits", re.compile(r"(?=\d)(?<![\w.])\d{1,2}\.\d{3}\.\d{3}-[\dKk](?![\w])")),
+    ("id_number", "six digits", re.compile(r"(?=\d)(?<![\w/-])\d{3}-\d{2}-\d{4}(?![\w/-])")),
+    ("id_number", "six digits", re.compile(r"(?=\d)(?<![\w.,+/-])(?<!\d\s)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])[-+/\s]\d{4}(?![\w/]|[.,]\d)(?!\s\d)")),
+    ("card", "six digits", re.compile(r"(?=\d)(?<![\w/+.,-])(?<!\d\s)\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w/-])(?!\s\d)")),
+    ("phone", "six digits", re.compile(rf"(?=[+0])(?<![\w+])(?:\+|00)\d{{1,3}}(?:\s?\(0\))?(?:[\s./-]?\d{{2,7}}){{2,6}}\b{EXTENSION}")),
+    ("phone", "six digits", re.compile(rf"(?=[(0])(?<![\w.,/-])(?:\(0\d{{1,4}}\)\s?|0\d{{1,4}}[\s./-])\d{{3,4}}[\s./-]?\d{{4}}\b{EXTENSION}")),
+    ("phone", "six digits", re.compile(rf"(?=\d)(?<![\w.,/-])0\d{{9,10}}\b{EXTENSION}")),
+    ("phone", "six digits", re.compile(r"(?=\d)(?<![\w.,/-])(?<!\d\s)\d{3}[\s-]\d{4},?\s(?:ext\.?|extension|x)\s?\d{1,5}\b")),
     ("phone", "digit word", re.compile(rf"(?<!\w){DIGIT_WORD}(?:[\s,-]+{DIGIT_WORD}){{6,14}}(?!\w)", re.I)),
 ]
 #: Numbers that only the words before them tell: a short phone number, and a number of an identity paper or account.
@@ -89,9 +89,9 @@ GIVEN = "(?:" + "|".join(sorted({f for full, (_, short) in SHORT_FORMS.items() f
 SURNAME = rf"(?:(?:[OD]['’]|Mc|Mac|von\s|van\s|de\s)?[{UP}][{LOW}]{{2,}}(?:-[{UP}][{LOW}]+)*)"
 CAPITALS = rf"[{UP}]{{3,}}(?:-[{UP}]{{2,}})*"
 MIDDLE = r"(?:\s[A-Z]\.){0,3}"
-NAME = re.compile(rf"(?<![\w'’-])(?:(?P<g1>{GIVEN}){MIDDLE}\s(?P<s1>{SURNAME}|{CAPITALS})|(?P<s2>{CAPITALS}|{SURNAME}),\s(?P<g2>{GIVEN}|[A-Z]\.){MIDDLE}|(?P<g3>[A-Z])\.{MIDDLE}\s(?P<s3>{SURNAME}|{CAPITALS}))(?![\w-]|\s(?:{STREET}|{BUILDING}|Foundation|Trust|Prize|Award|Library|School|Hospital|Institute|Act|Bill|Report|Committee|Alliance|Group|Union|Bench)\b)")
+NAME = re.compile(rf"(?=[{UP}vd])(?<![\w'’-])(?:(?P<g1>{GIVEN}){MIDDLE}\s(?P<s1>{SURNAME}|{CAPITALS})|(?P<s2>{CAPITALS}|{SURNAME}),\s(?P<g2>{GIVEN}|[A-Z]\.){MIDDLE}|(?P<g3>[A-Z])\.{MIDDLE}\s(?P<s3>{SURNAME}|{CAPITALS}))(?![\w-]|\s(?:{STREET}|{BUILDING}|Foundation|Trust|Prize|Award|Library|School|Hospital|Institute|Act|Bill|Report|Committee|Alliance|Group|Union|Bench)\b)")
 # Titles and other words that stand before a name whichever it is, and the offices that are written like one.
-TITLED = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Mme|Mlle|Madame|Monsieur)\.?|\b[Cc]ontact|\b[Aa]sk for|\b[Ww]rite to|\b[Ss]igned:?|\b[Aa]ttn:?|\b[Dd]ear|\b[Ss]incerely,|\b[Mm]y name is|\bAnsprechpartner(?:in)?:?|\bKontakt:?|\bgez\.|\b[Ss]igné:?)\s(?=[A-ZÀ-Þ])")
+TITLED = re.compile(r"(?=[A-Zacdgmsw])(?:\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herrn?|Frau|Mme|Mlle|Madame|Monsieur)\.?|\b[Cc]ontact|\b[Aa]sk for|\b[Ww]rite to|\b[Ss]igned:?|\b[Aa]ttn:?|\b[Dd]ear|\b[Ss]incerely,|\b[Mm]y name is|\bAnsprechpartner(?:in)?:?|\bKontakt:?|\bgez\.|\b[Ss]igné:?)\s(?=[A-ZÀ-Þ])")
 OFFICES = frozenset("speaker president chair chairman chairwoman chairperson minister secretary deputy madam madame commissioner member members leader prime first vice acting honourable state foreign house committee council commission parliament government ministry clerk order president präsident präsidentin vizepräsident vizepräsidentin ministerin staatssekretär kanzler kanzlerin abgeordnete abgeordneter kollege kollegin vorsitzende vorsitzender président présidente ministre secrétaire député députée".split())
 AND = r"\s(?:and|und|et|&)\s(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle)\.?\s)?"
 # Words after which a person is named, for given names that no list has.
@@ -100,6 +100,8 @@ NOT_AFTER = rf"(?![\w-]|\s(?:{STREET}|{BUILDING}|Foundation|Trust|Prize|Award|Li
 ANY = re.compile(rf"(?P<g1>{CAP}){MIDDLE}\s(?P<s1>{SURNAME})(?![\w-])|(?P<s2>{CAPITALS}),\s(?P<g2>{CAP}){MIDDLE}(?![\w-])")
 JOINED = re.compile(rf"{AND}(?P<g1>{CAP}){MIDDLE}\s(?P<s1>{SURNAME}){NOT_AFTER}")
 JOINED_BEFORE = re.compile(rf"(?<![\w'’.-])(?<!\w\s)(?P<g1>{CAP}){MIDDLE}\s(?P<s1>{SURNAME}){AND}$")
+#: What each alternative of CUE has.
+CUE_WORDS = ("Applicant:", "amed", "file of", "case of", "lodged by", "letter from", "signs as", "signed by", "said of", "of mine,", "neighbour", "gallery,", "patient", "claimant", "Antrag von", "Fall", "chrieb", "Akte von", "lettre de", "dossier de", "écrit")
 #: A name that opens a turn: it stands first in its line or sentence, perhaps with a party in brackets, before a colon.
 OPENS = re.compile(r"(?:^|[\n\r]|[.!?)\]>—:…“”\"]\s)\s*(?:\W*(?:Mr|Mrs|Ms|Dr|Prof|Sir|Dame|Lord|Lady|Herr|Frau|M|Mme)\.?\s)?$")
 TURN = re.compile(r"\s*(?:[(\[][^()\[\]\n]{0,60}[)\]])?\s*:")
@@ -166,7 +168,7 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
                     add(kind, *m.span())
                 elif 13 <= len(digits := re.sub(r"\D", "", m.group())) <= 19 and luhn(digits):
                     add("id_number", *m.span())
-    if has["four digits"]:
+    if has["six digits"]:
         for kind, pattern, before in (("id_number", PAPER, PAPER_CUE), ("phone", SHORT_PHONE, PHONE_CUE)):
             for m in pattern.finditer(text):
                 if free(*m.span()) and before.search(text[max(0, m.start() - 60) : m.start()]):
@@ -191,7 +193,7 @@ def find(text: str | None, roll: Roll, speaker: str | None = None) -> list[tuple
             pos = a + len(m["s2"])  # two persons in a row
         elif not MEMBER.search(before) and not (TURN.match(text, b) and OPENS.search(before)) and private(m):
             add("name", a, b)
-    for cue in CUE.finditer(text):
+    for cue in CUE.finditer(text) if any(x in text for x in CUE_WORDS) else ():
         m = ANY.match(text, cue.end())
         if m and free(*m.span()) and fold(m["g1"] or m["g2"]) not in FULL and private(_Named(m)):
             add("name", *m.span())
