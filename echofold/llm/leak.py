@@ -17,7 +17,7 @@ from echofold.llm.tokens import spread
 
 PASSAGE_WORDS, ALTERED = 30, 0.10
 #: Letters of the search strings that shift tables look at, at most, and of a block.
-SEED, BLOCK = 24, 6
+SEED, BLOCK = 24, 10
 #: What stands between brackets or dashes and is no longer than this is an interruption or a page mark; a text with longer ones is searched with and without them.
 ASIDE = 140
 #: Texts of more words are compared piece by piece.
@@ -142,24 +142,27 @@ class Passages:
         self.block = min(BLOCK, self.length)
         # How far the window may move when it ends in a block; the strings whose first letters end in it.
         self.shift: dict[str, int] = {}
-        self.bucket: dict[str, list[str]] = defaultdict(list)
+        self.bucket: dict[str, dict[int, set[str]]] = defaultdict(lambda: defaultdict(set))
         for seed in self.seeds:
             for end in range(self.block, self.length + 1):
                 block = seed[end - self.block : end]
                 self.shift[block] = min(self.shift.get(block, self.length), self.length - end)
-            self.bucket[seed[: self.length]].append(seed)
+            self.bucket[seed[: self.length]][len(seed)].add(seed)
+        self.bucket = {k: {n: set(x) for n, x in v.items()} for k, v in self.bucket.items()}
 
     def hits(self, run: str) -> list[tuple[int, str]]:
         """(start, search string) of all occurrences in a run of letters."""
         out, shift, bucket, m, b = [], self.shift.get, self.bucket, self.length, self.block
-        far, i, n = m - b + 1, m, len(run)
+        far, i, n, none = m - b + 1, m, len(run), {}
         while i <= n:
             step = shift(run[i - b : i], far)
             if step:
                 i += step
                 continue
             start = i - m
-            out += [(start, seed) for seed in bucket.get(run[start:i], ()) if run.startswith(seed, start)]
+            for size, seeds in bucket.get(run[start:i], none).items():
+                if (window := run[start : start + size]) in seeds:
+                    out.append((start, window))
             i += 1
         return out
 
@@ -223,6 +226,8 @@ class Passages:
         """Whether runs that one alignment may have in common hold as many words as a passage has in such runs."""
         if any(b - a >= self.least_cover for a, b, _ in runs):
             return True
+        if len(runs) == 1:
+            return False
         # Of two runs, either alone is too short.
         at = sorted((d - a, a) for a, _, d in runs)
         return any(y[0] - x[0] <= allowed for x, y in zip(at, at[1:]))
