@@ -140,6 +140,7 @@ def oracle_sql() -> dict[str, str]:
         "term_counts": f"{with_} {POSTS} SELECT path, count(*) term_count FROM posts GROUP BY path",
         "document_frequency": f"{with_} {POSTS} SELECT term, count(*) df FROM posts GROUP BY term",
         "df_capped_postings": f"{with_} {POSTS} SELECT path, term, df FROM posts JOIN (SELECT term, count(*) df FROM posts GROUP BY term HAVING count(*) <= 20) USING (term)",
+        "df_capped_postings_default": f"{with_} {POSTS} SELECT path, term, df FROM posts JOIN (SELECT term, count(*) df FROM posts GROUP BY term HAVING count(*) <= 2000) USING (term)",
         "shared_terms": f"{with_} {POSTS}, {SHARED} SELECT a, b, shared FROM shared",
         "candidate_pairs": f"{with_} {CANDIDATES} SELECT a, b, shared, terms_a, terms_b FROM cand",
         "candidates_of_posting": f"{with_} posts AS (SELECT DISTINCT i.path, p.term FROM posting p JOIN indexed_file i ON p.file_id = i.id WHERE p.term IS NOT NULL), {SHARED} SELECT a, b, shared FROM shared JOIN indexed_file x ON x.path = a JOIN indexed_file y ON y.path = b WHERE shared >= greatest(20, ceil(0.1::DOUBLE * least(coalesce(x.term_count, 0), coalesce(y.term_count, 0))))",

@@ -95,6 +95,11 @@ def df_capped_postings(spark: SparkSession, d: str) -> DataFrame:
     return index.df_capped(posts(spark, d), cap=20).select("path", "term", "df")
 
 
+def df_capped_postings_default(spark: SparkSession, d: str) -> DataFrame:
+    """With the cap that find_duplicates() uses."""
+    return index.df_capped(posts(spark, d)).select("path", "term", "df")
+
+
 def shared_terms(spark: SparkSession, d: str) -> DataFrame:
     return index.shared_terms(posts(spark, d))
 
@@ -276,7 +281,7 @@ def p5_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 NAMES = (
     scan_min_size, coerced_info, signed32, cache_freshness_split, cache_progress, cache_upsert, backfill_missing, eligible, cache_count,
-    term_postings, term_counts, document_frequency, df_capped_postings, shared_terms, candidate_pairs, candidates_of_posting,
+    term_postings, term_counts, document_frequency, df_capped_postings, df_capped_postings_default, shared_terms, candidate_pairs, candidates_of_posting,
     hamming_at_offset, fingerprint_similarity, normalize_title, normalize_artist, normalize_stem, identity_score, edges,
     components, duplicate_groups, keep_best, report_rows, report_summary, json_report, apply_plan, apply_counts,
     find_candidates, shared_terms_in_cache_scope, cache_force_refresh, report_files, json_encoded,
