@@ -420,10 +420,11 @@ class HashStore:
     def table(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.prefix}_{name}")
 
-    def _insert(self, name: str, rows: DataFrame, part: int) -> None:
+    def _insert(self, name: str, rows: DataFrame, part: int, placed: bool = False) -> None:
+        """Replace a part of a table; ``placed`` says that the rows lie in its buckets already."""
         columns, by = self.TABLES[name]
         view = f"{self.prefix}_new"
-        (rows.repartition(self.buckets, by) if by else rows).createOrReplaceTempView(view)
+        (rows.repartition(self.buckets, by) if by and not placed else rows).createOrReplaceTempView(view)
         self.spark.sql(f"INSERT OVERWRITE TABLE {self.prefix}_{name} PARTITION (part = {part}) SELECT {', '.join(c.split()[0] for c in columns.split(', '))} FROM {view}")
         self.spark.catalog.dropTempView(view)
 
@@ -455,7 +456,8 @@ class HashStore:
         # The fingerprints travel once, to the bucket of their number.
         self._insert("hashes", f.groupBy("hash").agg(F.min("id").alias("number"), F.min("batch").alias("first"), F.max("batch").alias("last")), part)
         h = self.table("hashes").where(F.col("part") == part)
-        self._insert("contents", f.select(F.col("id").alias("number"), "fingerprint").join(h.select("number").hint("merge"), "number", "left_semi").dropDuplicates(["number"]), part)
+        c = f.select(F.col("id").alias("number"), "fingerprint").repartition(self.buckets, "number")
+        self._insert("contents", c.join(h.select("number").hint("merge"), "number", "left_semi").dropDuplicates(["number"]), part, placed=True)
         self._insert("members", f.select("hash", "id", "batch").join(h.select("hash", "number").hint("merge"), "hash").select("number", "id", "batch").distinct(), part)
         c = self.table("contents").where(F.col("part") == part)
         if not self._has("settings") and (n := h.count()):

@@ -17,11 +17,17 @@ def last(field: str, known: str) -> str:
     return f"arg_max({field}, f.scan_ord) FILTER ({known})"
 
 
+def trusted(field: str, known: str) -> str:
+    rank = "CASE WHEN regexp_matches(lower(f.path), '\\.(flac|wav|aiff|alac|ape|wv)$') THEN 2 WHEN f.path IS NOT NULL THEN 1 ELSE 0 END"
+    return f"(max({{'r': {rank}, 'o': f.scan_ord, 'v': {field}}}) FILTER ({known})).v"
+
+
 def oracle_sql() -> dict[str, str]:
-    fields = ", ".join([f"{last(f'f.{n}', f'f.{n} > 0')} {n}" for n in ("bitrate", "size", "duration")] + [f"{last(f'f.tags.{n}', f'''trim(f.tags.{n}) <> '' ''')} {n}" for n in ("title", "artist", "album")])
+    fields, by_trust = (", ".join([f"{of(f'f.{n}', f'f.{n} > 0')} {n}" for n in ("bitrate", "size", "duration")] + [f"{of(f'f.tags.{n}', f'''trim(f.tags.{n}) <> '' ''')} {n}" for n in ("title", "artist", "album")]) for of in (last, trusted))
     return {
         "p1_found": f"WITH {MEMBER} SELECT group_id, path keep_path FROM (SELECT r.group_id, path, row_number() OVER (PARTITION BY r.group_id ORDER BY coalesce(size, 0) DESC, path) rn FROM r JOIN t ON r.group_id = t.group_id WHERE rate * 100.0 >= top * 97.0) WHERE rn = 1",
         "p1_golden": f"WITH f AS (SELECT group_id, unnest(files) f FROM duplicate_group) SELECT group_id, {fields} FROM f GROUP BY group_id",
+        "p1_golden_by_trust": f"WITH f AS (SELECT group_id, unnest(files) f FROM duplicate_group) SELECT group_id, {by_trust} FROM f GROUP BY group_id",
         "p3_found": f"WITH {VALID}, c AS (SELECT term, count(DISTINCT file_id) n FROM v GROUP BY 1), k AS (SELECT count(DISTINCT file_id) n FROM v) SELECT term, CASE WHEN c.n <= 2 THEN 'rare' ELSE 'common' END mark FROM c, k WHERE c.n <= 2 OR (c.n > 20 AND c.n > 0.05 * k.n)",
         "p3_frequencies": f"WITH {VALID} SELECT term, count(*) occurrences, count(DISTINCT file_id) records FROM v GROUP BY 1",
         "p4_found": "WITH RECURSIVE e AS (SELECT DISTINCT a, b FROM edge WHERE similarity >= 0.85 AND a <> b), l AS (SELECT a x, b y FROM e UNION SELECT b, a FROM e), r AS (SELECT x, x y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x) SELECT x path, min(y) group_path FROM r GROUP BY 1",

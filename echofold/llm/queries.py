@@ -26,6 +26,10 @@ def p1_golden(spark: SparkSession, d: str) -> DataFrame:
     return survivors.golden(table(spark, d, "duplicate_group"))
 
 
+def p1_golden_by_trust(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.golden(table(spark, d, "duplicate_group"), by_trust=True)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variants(table(spark, d, "audio_file"))
 
@@ -97,7 +101,7 @@ def p10_replaced(spark: SparkSession, d: str) -> DataFrame:
     return pii.replaced(table(spark, d, "documents"), found, pii.surrogates(found, KEY))
 
 
-NAMES = (p1_found, p1_golden, p2_found, p2_artists, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_surrogates, p10_replaced)
+NAMES = (p1_found, p1_golden, p1_golden_by_trust, p2_found, p2_artists, p3_found, p3_frequencies, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found, p10_surrogates, p10_replaced)
 
 
 def queries() -> dict[str, Query]:

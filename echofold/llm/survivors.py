@@ -61,9 +61,18 @@ def keep(groups: DataFrame, tolerance: float = 0.03) -> DataFrame:
     return near.groupBy("group_id").agg(best.alias("b")).select("group_id", F.col("b.path").alias("keep_path"))
 
 
-def golden(groups: DataFrame) -> DataFrame:
-    """One built record per group: each field the last known value of any member; blank texts are not known."""
+#: Suffixes of the formats that are kept without loss; what such a file says of itself is trusted before others.
+LOSSLESS = ("flac", "wav", "aiff", "alac", "ape", "wv")
+
+
+def trust(path: Column) -> Column:
+    """2 for a file of a lossless format, 1 for any other with a path, 0 for none."""
+    return F.when(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*LOSSLESS), 2).when(path.isNotNull(), 1).otherwise(0)
+
+
+def golden(groups: DataFrame, by_trust: bool = False) -> DataFrame:
+    """One built record per group: each field the last known value of any member, or ``by_trust`` that of the most trusted ones; blank texts are not known."""
     f = groups.select("group_id", F.explode("files").alias("f"))
     fields = {n: F.col(f"f.{n}") for n in ("bitrate", "size", "duration")} | {n: F.col(f"f.tags.{n}") for n in ("title", "artist", "album")}
     known = {n: (F.trim(c) != "" if n in ("title", "artist", "album") else c > 0) for n, c in fields.items()}
-    return survivors(f, ["group_id"], fields, F.col("f.scan_ord"), known=known)
+    return survivors(f, ["group_id"], fields, F.col("f.scan_ord"), trust(F.col("f.path")) if by_trust else None, known)
