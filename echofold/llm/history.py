@@ -447,18 +447,22 @@ class HashStore:
         """Add rows (id, batch, fingerprint) as part number ``part``, which is also the batch if they name none.
 
         Files of equal content are one content, named by its least id.  Null
-        and empty fingerprints and rows without id or batch are left out.
+        and empty fingerprints and rows without id or batch are left out.  Of
+        several rows with one id that of the highest batch counts, then that
+        of the greatest content hash.  Ids must not come again in another part.
         """
         some = F.size(F.coalesce("fingerprint", F.array().cast("array<int>"))) > 0
         files = files if "batch" in files.columns else files.withColumn("batch", F.lit(part))
         f = files.where(some).select(F.col("id").cast("bigint").alias("id"), F.col("batch").cast("int").alias("batch"), "fingerprint").dropna(subset=["id", "batch"])
         f = cut(f.withColumn("hash", F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ",", "-"), 256)))
+        one = cut(f.groupBy("id").agg(F.max(F.struct("batch", "hash")).alias("r")).select("id", "r.batch", "r.hash"))
         # The fingerprints travel once, to the bucket of their number.
-        self._insert("hashes", f.groupBy("hash").agg(F.min("id").alias("number"), F.min("batch").alias("first"), F.max("batch").alias("last")), part)
+        self._insert("hashes", one.groupBy("hash").agg(F.min("id").alias("number"), F.min("batch").alias("first"), F.max("batch").alias("last")), part)
         h = self.table("hashes").where(F.col("part") == part)
-        c = f.select(F.col("id").alias("number"), "fingerprint").repartition(self.buckets, "number")
-        self._insert("contents", c.join(h.select("number").hint("merge"), "number", "left_semi").dropDuplicates(["number"]), part, placed=True)
-        self._insert("members", f.select("hash", "id", "batch").join(h.select("hash", "number").hint("merge"), "hash").select("number", "id", "batch").distinct(), part)
+        c = f.select(F.col("id").alias("number"), "hash", "fingerprint").repartition(self.buckets, "number")
+        c = c.join(h.select("number", F.col("hash").alias("own")).hint("merge"), "number").where(F.col("hash") == F.col("own"))
+        self._insert("contents", c.dropDuplicates(["number"]), part, placed=True)
+        self._insert("members", one.join(h.select("hash", "number").hint("merge"), "hash"), part)
         c = self.table("contents").where(F.col("part") == part)
         if not self._has("settings") and (n := h.count()):
             row = [(key_bits(max(n, self.capacity)), hot_frames(c, n))]

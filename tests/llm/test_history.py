@@ -163,3 +163,12 @@ def test_recall_by_bits(spark):
     want = brute(rows)
     got = {tuple(r) for r in history.earlier_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got <= want and len(want) > 140 and len(got) >= 0.97 * len(want)
+
+
+def test_one_id_of_several_contents(spark):
+    """Of rows with one id the last batch counts; repeated rows count once."""
+    rng = random.Random(3)
+    x, y, z = ([rng.randrange(-(2**31), 2**31) for _ in range(50)] for _ in range(3))
+    rows = [(1, 0, x), (2, 0, y), (7, 1, x), (7, 2, y), (7, 2, y), (8, 1, x), (8, 1, x), (9, 3, z)]
+    got = sorted(tuple(r) for r in history.earlier_copies(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 8), (2, 7)]
