@@ -392,7 +392,7 @@ class HashStore:
     """
 
     TABLES = {
-        "hashes": ("hash string, number bigint, first int, last int", "hash"),
+        "hashes": ("hash binary, number bigint, first int, last int", "hash"),
         "paragraphs": ("bucket int, key array<int>, number array<bigint>, pos array<int>, word array<bigint>, known array<smallint>", "bucket"),
         "contents": ("number bigint, fingerprint array<int>", "number"),
         "masks": ("number bigint, mask binary, kind int", None),
@@ -454,7 +454,7 @@ class HashStore:
         some = F.size(F.coalesce("fingerprint", F.array().cast("array<int>"))) > 0
         files = files if "batch" in files.columns else files.withColumn("batch", F.lit(part))
         f = files.where(some).select(F.col("id").cast("bigint").alias("id"), F.col("batch").cast("int").alias("batch"), "fingerprint").dropna(subset=["id", "batch"])
-        f = cut(f.withColumn("hash", F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ",", "-"), 256)))
+        f = cut(f.withColumn("hash", F.unhex(F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ",", "-"), 256))))
         one = cut(f.groupBy("id").agg(F.max(F.struct("batch", "hash")).alias("r")).select("id", "r.batch", "r.hash"))
         # The fingerprints travel once, to the bucket of their number.
         self._insert("hashes", one.groupBy("hash").agg(F.min("id").alias("number"), F.min("batch").alias("first"), F.max("batch").alias("last")), part)
