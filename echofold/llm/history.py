@@ -11,6 +11,7 @@ meets the history bucket by bucket, and of the contents only candidates.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -49,8 +50,14 @@ SPLIT = 1 << 22
 FLUSH = 1 << 20
 #: Standard deviations by which unrelated bits may agree better than by half.
 CHANCE_SD = 4.5
-#: Contents on each side of a block that is compared by its frequent frames.
+#: Contents on each side of a block that is compared in full.
 BLOCK = 2048
+#: Contents that are compared by their frequent frames at once: silent ones, which are few, and any others. Large blocks, as each side is sent to all blocks of the other.
+SILENT, OTHERS = 1 << 15, 1 << 16
+#: Groups of a content's frequent frames up to which bitmaps tell who has one of them, and the bitmaps read for a group.
+GROUPS, ROWS = 8, 8
+#: Kinds of frequent frames, the rest being one, of which two agree by ALIKE at most; and what may be of any kind.
+KINDS, ALIKE, ANY = 8, 0.75, 128
 
 
 def key_bits(n: int) -> int:
@@ -187,7 +194,7 @@ def meetings(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], bits:
             for ls in range(a0, a1, 1 << 9):
                 le = min(a1, ls + (1 << 9))
                 dot = _spread_bits(left[3][ls:le], left[4][ls:le], rest) @ mr.T
-                i, j = np.nonzero(dot >= least)
+                i, j = np.divmod(np.flatnonzero(dot >= least), re_ - rs)  # nonzero() of two dimensions takes several times as long
                 if not len(i):
                     continue
                 score, x, y = dot[i, j] >= strict[j], i + ls, j + rs
@@ -255,8 +262,33 @@ def _tiles(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _silent(left: pa.Table, right: pa.Table, threshold: float, agree: np.ndarray) -> pa.Table:
-    """(a, b, shift) of the alignments in which frequent frames may carry a match; ``agree`` as of agreements()."""
+def _kinds(many: np.ndarray, agree: np.ndarray) -> np.ndarray:
+    """A kind for each value of silence(), of which there are so ``many``: 0 if telling, ANY if nearly frequent only; frames of two others agree by ALIKE at most."""
+    out = np.full(256, ANY, np.uint8)
+    out[0] = 0
+    values = [v for v in np.argsort(-many, kind="stable") if 0 < v < 127 and many[v]]
+    k, left = 0, set(values)
+    for first in values:
+        if first not in left:
+            continue
+        k, reached = min(k + 1, KINDS), [first]
+        left.discard(first)
+        for v in reached:
+            out[v] = k
+            more = [w for w in left if agree[v, w] > ALIKE]
+            reached += more
+            left.difference_update(more)
+    return out
+
+
+def _silent(ends: pa.Table, others: pa.Table, threshold: float, agree: np.ndarray) -> pa.Table:
+    """(a, b, shift) of the alignments that end with the end of a, of ``ends``, in which frequent frames may carry a match with b; ``agree`` as of agreements().
+
+    Where a's frequent frames are just enough, few of them may meet others in
+    b.  If they are parted into one group more than that, b has all of one
+    group: those contents come from bitmaps, one for each position and kind
+    of frame, and only they are counted and compared.
+    """
 
     def side(t: pa.Table) -> tuple:
         masks = t.column("mask").to_pylist()
@@ -265,37 +297,104 @@ def _silent(left: pa.Table, right: pa.Table, threshold: float, agree: np.ndarray
         flat = np.frombuffer(b"".join(masks[i] for i in o), np.uint8)
         return np.asarray(t.column("number"))[o], n[o], np.cumsum(n[o]) - n[o], flat
 
-    def wide(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(n), int(n.max())), np.float32)
-        for row, s, k in zip(out, start, n):
-            row[:k] = flat[s : s + k] > 0
-        return out
-
-    (num_a, n_a, s_a, f_a), (num_b, n_b, s_b, f_b), found = side(left), side(right), []
-    for a0, a1 in _tiles(n_a, 1024):
-        wa = wide(f_a, s_a[a0:a1], n_a[a0:a1])
-        for b0, b1 in _tiles(n_b, 512):
-            wb = wide(f_b, s_b[b0:b1], n_b[b0:b1])
-            need = least_hot(np.arange(max(wa.shape[1], wb.shape[1]) + 1), threshold).astype(np.float32)
-            for k in range(-MAX_OFFSET, MAX_OFFSET + 1):
-                ka, kb = max(k, 0), max(-k, 0)
-                w = min(wa.shape[1] - ka, wb.shape[1] - kb)
-                if w <= 0:
-                    continue
-                n = np.minimum((n_a[a0:a1] - ka)[:, None], n_b[b0:b1] - kb)
-                i, j = np.nonzero(wa[:, ka : ka + w] @ wb[:, kb : kb + w].T >= need[np.maximum(n, 0)])
-                i, j, n = i + a0, j + b0, n[i, j]
-                ok = (n > 0) & (num_a[i] != num_b[j])
-                i, j, n = i[ok], j[ok], n[ok]
-                if not len(i):
+    def checked(*rows: np.ndarray) -> None:
+        at_once = max(1, FLUSH // int(n_a[rows[0]].max(initial=1)))
+        for lo in range(0, len(rows[0]), at_once):
+            compared(*(x[lo : lo + at_once] for x in rows))
+
+    def compared(i: np.ndarray, j: np.ndarray, ka: np.ndarray, kb: np.ndarray) -> None:
+        # They are not all the same frame: how far can these agree, and what would the rest have to be?
+        n = n_a[i] - ka
+        last = np.cumsum(n)
+        within = np.arange(last[-1]) - np.repeat(last - n, n)
+        both = agree[f_a[np.repeat(s_a[i] + ka, n) + within], f_b[np.repeat(s_b[j] + kb, n) + within]]
+        rest = n - np.add.reduceat((both > 0).astype(np.int64), last - n)
+        ok = np.add.reduceat(both.astype(np.float64), last - n) + rest / 2 + CHANCE_SD / 2 * np.sqrt(rest / 32) >= threshold * n - 1e-6
+        ok &= num_a[i] != num_b[j]
+        found.append((num_a[i[ok]], num_b[j[ok]], (ka - kb)[ok].astype(np.int32)))
+
+    @functools.cache
+    def spare(h: int, n: int) -> int:
+        """How many of a's h frequent frames in n may meet a frame of another kind, which at most agrees by ALIKE, or a telling one."""
+        lacks = np.arange(h + 1)
+        enough = h + (n - h) / 2 - lacks * (1 - ALIKE) + CHANCE_SD / 2 * np.sqrt((n - h + lacks) / 32) >= threshold * n - 1e-6
+        most = int(np.flatnonzero(enough).max(initial=-1))
+        return most if most < min(GROUPS, h) else GROUPS
+
+    (num_a, n_a, s_a, f_a), (num_b, n_b, s_b, f_b), found = side(ends), side(others), []
+    kinds = _kinds(np.bincount(f_b, minlength=256), agree)
+    need = least_hot(np.arange(int(n_a.max(initial=0)) + 1), threshold)
+    for b0, b1 in _tiles(n_b, 1 << 16):
+        length = n_b[b0:b1]
+        kinds_b = np.zeros((-(-len(length) // 64) * 64, -(-int(length[-1]) // 64) * 64), np.uint8)
+        for row, s, k in zip(kinds_b, s_b[b0:b1], length):
+            row[:k] = kinds[f_b[s : s + k]]
+        quiet = kinds_b > 0
+        kind_of = lambda k, x=kinds_b.T: (x == k) | (x == ANY) if k else x > 0
+        of_row = np.packbits(quiet, axis=1, bitorder="little").view(np.uint64)
+        at_pos = np.concatenate([np.packbits(np.ascontiguousarray(kind_of(k)), axis=1, bitorder="little").view(np.uint64) for k in range(KINDS + 1)])
+        many = np.bitwise_count(at_pos).sum(1, dtype=np.int64)
+        held, size = [], 0
+        for i, (s, n) in enumerate(zip(s_a, n_a)):
+            hot = np.flatnonzero(f_a[s : s + n])
+            row_of = kinds[f_a[s : s + n]].astype(np.int64) % ANY * quiet.shape[1]
+            ways, groups, group_of = [], [], []
+            first = np.searchsorted(hot, np.arange(min(MAX_OFFSET + 1, n)))
+            for ka in np.flatnonzero(len(hot) - first >= need[n - np.arange(len(first))]):
+                at = hot[first[ka] :] - ka
+                lacks = spare(len(at), int(n - ka))
+                # Of the contents in order of length, those that reach to the end of a.
+                los = np.searchsorted(length, n - ka + np.arange(1 if ka else MAX_OFFSET + 1))
+                los = los[los < len(length)]
+                if lacks < 0 or not len(los):
                     continue
-                # They are not all the same frame: how far can these agree, and what would the rest have to be?
-                ends = np.cumsum(n)
-                within = np.arange(ends[-1]) - np.repeat(ends - n, n)
-                both = agree[f_a[np.repeat(s_a[i] + ka, n) + within], f_b[np.repeat(s_b[j] + kb, n) + within]]
-                rest = n - np.add.reduceat((both > 0).astype(np.int64), ends - n)
-                ok = np.add.reduceat(both.astype(np.float64), ends - n) + rest / 2 + CHANCE_SD / 2 * np.sqrt(rest / 32) >= threshold * n - 1e-6
-                found.append((num_a[i[ok]], num_b[j[ok]], np.full(int(ok.sum()), k, np.int32)))
+                if lacks < GROUPS:
+                    by_many = row_of[at + ka] + at
+                    by_many = by_many[np.argsort(many[by_many], kind="stable")]
+                    g = np.arange(lacks + 1)[:, None]
+                    rows = by_many[g + (lacks + 1) * (np.arange(ROWS) % -(-(len(at) - g) // (lacks + 1)))]
+                    groups.append((rows + np.arange(len(los))[:, None, None]).reshape(-1, ROWS))
+                    group_of.append(np.repeat(len(ways) + np.arange(len(los)), lacks + 1))
+                ways += [(ka, kb, lo, lacks, at) for kb, lo in enumerate(los)]
+            if not ways:
+                continue
+            ka, kb, lo, lacks = (np.array(x) for x in list(zip(*ways))[:4])
+            mine = np.zeros((len(ways), quiet.shape[1]), bool)
+            for row, (_, k, _, _, at) in zip(mine, ways):
+                row[at + k] = True
+            mine = np.packbits(mine, axis=1, bitorder="little").view(np.uint64)
+            way, j = [], []
+            for v in np.flatnonzero(lacks >= GROUPS):
+                within = -(-(n + MAX_OFFSET) // 64)
+                shared = np.bitwise_count(of_row[lo[v] :, :within] & mine[v, :within]).sum(1, dtype=np.uint16)
+                j.append(np.flatnonzero(shared >= need[n - ka[v]]) + lo[v])
+                way.append(np.full(len(j[-1]), v))
+            if groups:
+                rows, w = np.concatenate(groups), int(lo.min()) // 64
+                some = at_pos[rows[:, 0], w:]
+                for r in range(1, 3):
+                    some &= at_pos[rows[:, r], w:]
+                where = np.flatnonzero(some)
+                (g, word), some = np.divmod(where, some.shape[1]), some.ravel()[where]
+                for r in range(3, ROWS):
+                    some &= at_pos[rows[g, r], word + w]
+                    g, word, some = g[some > 0], word[some > 0], some[some > 0]
+                of, bit = np.divmod(np.flatnonzero(np.unpackbits(some.view(np.uint8), bitorder="little")), 64)
+                both = np.unique(np.concatenate(group_of)[g[of]] * quiet.shape[0] + (word[of] + w) * 64 + bit)
+                way.append(both // quiet.shape[0])
+                j.append(both % quiet.shape[0])
+            way, j = np.concatenate(way), np.concatenate(j)
+            ok = (j >= lo[way]) & (j < len(length))
+            way, j = way[ok], j[ok]
+            ok = np.bitwise_count(mine[way] & of_row[j]).sum(1, dtype=np.int64) >= need[n - ka[way]]
+            way, j = way[ok], j[ok]
+            held.append((np.full(len(j), i), j + b0, ka[way], kb[way]))
+            size += len(j) * int(n)
+            if size >= FLUSH:
+                checked(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if size:
+            checked(*(np.concatenate(x) for x in zip(*held)))
     cols = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]
     return pa.table([pa.array(x) for x in cols], names=["a", "b", "shift"])
 
@@ -333,12 +432,12 @@ def _all_shifts(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(x) for x in cols], names=["a", "b"])
 
 
-def _in_blocks(left: DataFrame, right: DataFrame, compare, schema: str) -> DataFrame:  # noqa: ANN001
-    """``compare`` of all blocks of both sides; BLOCK rows a side."""
+def _in_blocks(left: DataFrame, right: DataFrame, compare, schema: str, most: tuple[int, int] = (BLOCK, BLOCK)) -> DataFrame:  # noqa: ANN001
+    """``compare`` of all blocks of both sides; ``most`` rows a side, fewer of the left one if there would be few blocks."""
     n_l, n_r = left.count(), right.count()
     if not n_l or not n_r:
         return left.sparkSession.createDataFrame([], schema)
-    g_l, g_r = -(-n_l // BLOCK), -(-n_r // BLOCK)
+    g_l, g_r = max(-(-n_l // most[0]), min(8, -(-n_l // BLOCK))), -(-n_r // most[1])
     block = lambda g: F.pmod(F.xxhash64("number"), F.lit(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
     x = left.select("*", block(g_l).alias("i"), every(g_r).alias("j"))
@@ -500,9 +599,10 @@ class HashStore:
     def _carried(self, upto, new) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
         """((a, b, shift) that frequent frames may carry, (a, b) of contents that are compared with all others), exact."""
         old, fresh = upto("masks").drop("part"), new("masks").drop("part")
-        silent = lambda x, y: _in_blocks(x, y, lambda a, b, t=self.threshold, g=agreements(self.hot()): _silent(a, b, t, g), "a bigint, b bigint, shift int")
+        silent = lambda x, y: _in_blocks(x, y, lambda a, b, t=self.threshold, g=agreements(self.hot()): _silent(a, b, t, g), "a bigint, b bigint, shift int", (SILENT, OTHERS))
         tight = F.col("kind") == 1
-        near = silent(old.where(tight), fresh).unionByName(silent(old.where(~tight), fresh.where(tight)))
+        # An alignment ends with one of its contents, of kind 1: an earlier one, or a new one.
+        near = silent(old.where(tight), fresh).unionByName(silent(fresh.where(tight), old).select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("shift")).alias("shift")))
         few = F.col("kind") == 2
         if upto("masks").where(few).isEmpty():
             return near, self.spark.createDataFrame([], "a bigint, b bigint")
